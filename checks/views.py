@@ -47,6 +47,13 @@ FROM (SELECT c.commit_ord, f.path,
       FROM code_files f CROSS JOIN (VALUES (0), (1), (2)) AS c(commit_ord)) t
 """
 
+# Code files with a last line that is worth a review in three cases out of four.
+SCRIPTS = """
+SELECT file_id, path, content || CASE file_id % 4 WHEN 0 THEN chr(10) || 'os.system (x)'
+  WHEN 1 THEN chr(10) || 'q = "select a from b" + name' WHEN 2 THEN chr(10) || 'YAML.load(y)' ELSE '' END AS content
+FROM code_files
+"""
+
 TARGETS = """
 SELECT page_id,
   CASE page_id % 6 WHEN 0 THEN 'git@host.example:grp/p' || CAST(page_id AS STRING)
@@ -73,7 +80,10 @@ SELECT DISTINCT source AS project, source < 'src3' AS vulnerable,
 FROM documents
 """
 
-VIEWS = {"code_files": CODE_FILES, "blobs": BLOBS, "targets": TARGETS, "reviews": REVIEWS, "manifest": MANIFEST}
+VIEWS = {
+    "code_files": CODE_FILES, "scripts": SCRIPTS, "blobs": BLOBS, "targets": TARGETS, "reviews": REVIEWS,
+    "manifest": MANIFEST,
+}
 BASE_TABLES = ["documents", "pages"]
 
 

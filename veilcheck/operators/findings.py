@@ -6,11 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import fixed_values as fv
 from ..functions import labels, scoring
-from ..session import checkpointed
+from .ranking import number_rows
 
 DEDUP_KEY = ["file", "line_number", "secret_type", "matched_value", "source"]
 REPORT_ORDER = ["file", "line_number", "rule_ord", "match_ord", "source", "secret_type", "matched_value"]
@@ -59,28 +58,8 @@ def in_report_order(findings: DataFrame) -> DataFrame:
 
 
 def rank_findings(findings: DataFrame, start: int = 1) -> DataFrame:
-    """Adds ``idx``, the position in report order.
-
-    Numbering a whole table in one window would pull it into one task.  The rows
-    are range-partitioned and sorted instead; each task numbers its own rows,
-    and only one count per task is summed to get the offsets.  The sorted rows
-    are checkpointed so that both uses see the same partitions.
-    """
-    ordered = checkpointed(
-        in_report_order(findings)
-        .withColumn("_part", F.spark_partition_id())
-        # The low 33 bits count rows within a task.
-        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    )
-    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    # One row per sort task: bounded by the partition count, not by the data.
-    return (
-        ordered.join(F.broadcast(offsets), "_part")
-        .withColumn("idx", F.col("_offset") + F.col("_pos") + start)
-        .drop("_part", "_pos", "_offset")
-    )
+    """Adds ``idx``, the position in report order."""
+    return number_rows(findings, report_order(), start)
 
 
 def _severity_counts() -> list[Column]:
