@@ -75,22 +75,36 @@ def traces_of(lines: Column | str, path: Column | str, secrets: Column | str) ->
     """Traces of every secret ``struct<variable, line_number>``, in the order given.
 
     A variable listed twice yields its traces twice, but is followed only once.
+    Variables that no right-hand side and no risky call mentions are left out
+    first, by one hashed intersection: a file full of unused secrets costs its
+    length, not its length times its secrets.
     """
     secrets_, path_, lines_ = col(secrets), col(path), col(lines)
 
-    def followed(events):
-        return F.transform(
-            F.array_distinct(secrets_),
-            lambda s: F.struct(s.alias("secret"), _follow(events, path_, s["variable"], s["line_number"]).alias("t")),
-        )
+    def per_file(events):
+        mentioned = F.flatten(F.transform(events, lambda e: e["words"]))
+        used = F.array_intersect(F.transform(secrets_, lambda s: s["variable"]), mentioned)
+        return _bind(used, lambda names: _bind(
+            F.filter(secrets_, lambda s: F.array_contains(names, s["variable"])),
+            lambda live: _bind(followed(events, live), lambda known: listed(live, known)),
+        ))
+
+    def followed(events, live):
+        return F.transform(F.array_distinct(live), lambda s: F.struct(
+            s.alias("secret"), _follow(events, path_, s["variable"], s["line_number"]).alias("traces"),
+        ))
+
+    def listed(live, known):
+        return F.flatten(F.transform(live, lambda s: F.flatten(F.transform(
+            F.filter(known, lambda k: k["secret"] == s), lambda k: k["traces"]
+        ))))
+
+    return F.when(F.size(secrets_) > 0, _bind(_flow_events(lines_), per_file)).otherwise(F.array().cast(TRACES))
+
 
-    # The one-element array binds the events once for all variables.
-    by_secret = F.flatten(F.transform(F.array(_flow_events(lines_)), followed))
-    repeated = F.transform(F.array(by_secret), lambda known: F.flatten(F.transform(
-        secrets_,
-        lambda s: F.flatten(F.transform(F.filter(known, lambda k: k["secret"] == s), lambda k: k["t"])),
-    )))
-    return F.when(F.size(secrets_) > 0, F.flatten(repeated)).otherwise(F.array().cast(TRACES))
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a transform over a one-element array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def attached(traces: Column, line_number: Column) -> Column:

@@ -23,14 +23,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..operators.paths import glob_filter
 from ..options import DEFAULT_OPTIONS, ScanOptions
 
-LISTING_SPLITS = 256
+# A tree is opened down to this many folders, and a listing task gets some of them.
+MIN_FOLDERS = 256
+FOLDERS_PER_TASK = 64
+MIN_TASKS, MAX_TASKS = 8, 4096
 BATCH_BYTES = 32 << 20
 
 
-class _Subtree(InputPartition):
-    def __init__(self, root: str, files_only: bool):
-        self.root = root
-        self.files_only = files_only
+class _Share(InputPartition):
+    """Roots for one listing task: (path, whether to descend)."""
+
+    def __init__(self, roots: list[tuple[str, bool]]):
+        self.roots = roots
 
 
 def _children(folder: str, skip_dirs: set[str]) -> tuple[list[str], list[str]]:
@@ -63,34 +67,31 @@ class CodeTreeReader(DataSourceReader):
         self.skip_extensions = set(json.loads(options["skipextensions"]))
 
     def partitions(self):
-        """Subtrees to walk: the tree is opened level by level until there are enough."""
-        files = [r for r in self.roots if not os.path.isdir(r)]
-        frontier = [r for r in self.roots if os.path.isdir(r)]
-        splits = [_Subtree(f, True) for f in files]
-        while frontier and len(frontier) + len(splits) < LISTING_SPLITS:
-            opened = []
-            for folder in frontier:
-                opened += _children(folder, self.skip_dirs)[0]
-                splits.append(_Subtree(folder, True))
-            frontier = opened
-        splits += [_Subtree(folder, False) for folder in frontier]
-        return splits or [_Subtree("", True)]
+        """The tree is opened level by level until it has enough folders to share out."""
+        shared = [(root, False) for root in self.roots if not os.path.isdir(root)]
+        frontier = [root for root in self.roots if os.path.isdir(root)]
+        while frontier and len(frontier) + len(shared) < MIN_FOLDERS:
+            shared += [(folder, False) for folder in frontier]
+            frontier = [d for folder in frontier for d in _children(folder, self.skip_dirs)[0]]
+        shared += [(folder, True) for folder in frontier]
+        tasks = max(MIN_TASKS, min(MAX_TASKS, len(shared) // FOLDERS_PER_TASK))
+        return [_Share(shared[i::tasks]) for i in range(tasks)]
+
+    def _kept(self, path: str) -> bool:
+        return _suffix(path) not in self.skip_extensions
 
     def read(self, partition) -> Iterator[tuple]:
-        if not partition.root:
-            return
-        if not os.path.isdir(partition.root):
-            if _suffix(partition.root) not in self.skip_extensions:
-                yield (partition.root,)
-            return
-        pending = [partition.root]
-        while pending:
-            dirs, files = _children(pending.pop(), self.skip_dirs)
-            for path in files:
-                if _suffix(path) not in self.skip_extensions:
-                    yield (path,)
-            if not partition.files_only:
-                pending += dirs
+        for root, descend in partition.roots:
+            if not os.path.isdir(root):
+                if self._kept(root):
+                    yield (root,)
+                continue
+            pending = [root]
+            while pending:
+                dirs, files = _children(pending.pop(), self.skip_dirs)
+                yield from ((path,) for path in files if self._kept(path))
+                if descend:
+                    pending += dirs
 
 
 class CodeTreeSource(DataSource):
