@@ -36,15 +36,17 @@ SELECT doc_id AS file_id,
 FROM k
 """
 
+# Three commits of all files: some files change, some become empty.
 BLOBS = """
-SELECT commit_ord, md5('commit' || CAST(commit_ord AS STRING)) AS commit_id,
-  row_number() OVER (PARTITION BY commit_ord ORDER BY path) AS path_ord, path,
+SELECT commit_ord, md5('commit' || CAST(commit_ord AS STRING)) AS commit_id, file_id AS path_ord, path,
   md5(body) AS blob_hash, body AS content
-FROM (SELECT c.commit_ord, f.path,
-        CASE WHEN f.file_id % 3 = c.commit_ord AND f.file_id % 7 = 0 THEN ''
-             WHEN f.file_id % 3 = c.commit_ord THEN f.content || chr(10) || 'rev = ' || CAST(c.commit_ord AS STRING)
-             ELSE f.content END AS body
-      FROM code_files f CROSS JOIN (VALUES (0), (1), (2)) AS c(commit_ord)) t
+FROM (SELECT commit_ord, file_id, path,
+        CASE WHEN file_id % 3 = commit_ord AND file_id % 7 = 0 THEN ''
+             WHEN file_id % 3 = commit_ord THEN content || chr(10) || 'rev = ' || CAST(commit_ord AS STRING)
+             ELSE content END AS body
+      FROM (SELECT 0 AS commit_ord, file_id, path, content FROM code_files
+            UNION ALL SELECT 1 AS commit_ord, file_id, path, content FROM code_files
+            UNION ALL SELECT 2 AS commit_ord, file_id, path, content FROM code_files) c) t
 """
 
 # Code files with a last line that is worth a review in three cases out of four.

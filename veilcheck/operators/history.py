@@ -26,29 +26,33 @@ def newest_commits(blobs: DataFrame, n: int = fv.HISTORY_COMMITS, repo: list[str
     return blobs.join(newest, [*repo, "commit_ord"], "left_semi")
 
 
-def first_blob(blobs: DataFrame, repo: list[str] | None = None) -> DataFrame:
-    """The first occurrence of each blob hash in (commit, path) order.
+def first_places(keys: DataFrame, repo: list[str] | None = None) -> DataFrame:
+    """Where each blob hash occurs first, in (commit, path) order.
 
-    The winners are found on the keys alone, with map-side combining, so a hash
-    that fills a third of the table costs no more than any other.  The text
-    follows by a join on the blob's place, which is unique.
+    Needs no text, and combines on the map side: a hash that fills a third of
+    the table costs no more than any other.
     """
     repo = repo or []
-    winners = (
-        blobs.groupBy(*repo, "blob_hash").agg(F.min(F.struct(*PLACE)).alias("_place")).select(*repo, "_place.*")
-    )
-    return blobs.join(winners, [*repo, *PLACE], "left_semi")
+    return keys.groupBy(*repo, "blob_hash").agg(F.min(F.struct(*PLACE)).alias("_place")).select(*repo, "_place.*")
+
+
+def first_blob(blobs: DataFrame, repo: list[str] | None = None) -> DataFrame:
+    """The first occurrence of each blob hash; a blob's place is a unique join key."""
+    return blobs.join(first_places(blobs, repo), [*(repo or []), *PLACE], "left_semi")
 
 
 def history_files(blobs: DataFrame, max_commits: int = fv.HISTORY_COMMITS, opts: ScanOptions = DEFAULT_OPTIONS,
                   repo: list[str] | None = None) -> DataFrame:
     """``files(path, content, source)`` to scan from ``blobs``.
 
-    An empty blob claims its hash before it is dropped.
+    What to scan is decided on the keys alone; the texts are read once, for the
+    final semi-join.  An empty blob claims its hash before it is dropped.
     """
-    kept = skip_paths(newest_commits(blobs, max_commits, repo), "parts", opts)
-    first = first_blob(kept, repo).filter(F.col("content") != "")
+    kept = skip_paths(newest_commits(blobs.drop("content"), max_commits, repo), "parts", opts)
+    first = blobs.join(first_places(kept, repo), [*(repo or []), *PLACE], "left_semi")
     path = F.concat(
         F.lit("history/"), F.substring("commit_id", 1, fv.HISTORY_COMMIT_DIGITS), F.lit("/"), "path"
     )
-    return first.select(*(repo or []), path.alias("path"), "content", F.lit("history").alias("source"))
+    return first.filter(F.col("content") != "").select(
+        *(repo or []), path.alias("path"), "content", F.lit("history").alias("source")
+    )
