@@ -1,0 +1,89 @@
+"""Plain Python restatements of single steps, used only to check the Spark code."""
+
+import math
+import random
+import re
+from re import _constants as op
+from re import _parser
+
+from veilcheck import fixed_values as fv
+
+
+def entropy(value: str) -> float:
+    counts = {c: value.count(c) for c in dict.fromkeys(value)}
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values()) if value else 0.0
+
+
+def matches(rule_set, line: str) -> list[tuple]:
+    found = []
+    for i, rule in enumerate(rule_set):
+        for j, m in enumerate(re.finditer(rule.regex, line), 1):
+            found.append((i, j, m.group(rule.group)))
+    return found
+
+
+def traces(content: str, variable: str, source_line: int) -> list[tuple]:
+    """(sink, line, step lines) of one variable, by the definition."""
+    known, steps, out = [variable], [], []
+
+    def mentions(text):
+        return any(name in re.findall(r"\w+", text) for name in known)
+
+    for number, line in enumerate(content.splitlines(), 1):
+        if number == source_line:
+            continue
+        assignment = re.match(r"\s*([A-Z_a-z][A-Z_a-z0-9]*)\s*=(.+)", line)
+        if assignment and mentions(assignment[2]):
+            known.append(assignment[1])
+            steps.append(number)
+        sink = next((name for pattern, name in fv.SINKS if re.search(pattern, line)), None)
+        if sink and mentions(line):
+            out.append((sink, number, tuple(steps)))
+    return out
+
+
+_PRINTABLE = [chr(c) for c in range(32, 127)]
+_CATEGORY = {
+    op.CATEGORY_SPACE: " \t", op.CATEGORY_DIGIT: "0123456789", op.CATEGORY_WORD: "abzAZ09_",
+}
+
+
+def _pick(rng: random.Random, members) -> str:
+    negated = members[0][0] is op.NEGATE
+    chars: set[str] = set()
+    for kind, value in members:
+        if kind is op.LITERAL:
+            chars.add(chr(value))
+        elif kind is op.RANGE:
+            chars.update(chr(c) for c in range(value[0], value[1] + 1))
+        elif kind is op.CATEGORY:
+            chars.update(_CATEGORY[value])
+    return rng.choice(sorted(set(_PRINTABLE) - chars if negated else chars))
+
+
+def sample(rng: random.Random, pattern: str) -> str:
+    """A random text that a regex matches, apart from its word boundaries."""
+
+    def build(tree) -> str:
+        out = []
+        for kind, value in tree:
+            if kind is op.LITERAL:
+                out.append(chr(value))
+            elif kind is op.ANY:
+                out.append(rng.choice(_PRINTABLE))
+            elif kind is op.IN:
+                out.append(_pick(rng, value))
+            elif kind is op.NOT_LITERAL:
+                out.append(_pick(rng, [(op.NEGATE, None), (op.LITERAL, value)]))
+            elif kind is op.MAX_REPEAT:
+                low, high, body = value
+                times = rng.randint(low, min(int(high), low + 3))
+                out += [build(body) for _ in range(times)]
+            elif kind is op.SUBPATTERN:
+                out.append(build(value[-1]))
+            elif kind is op.BRANCH:
+                out.append(build(rng.choice(value[1])))
+        return "".join(out)
+
+    text = build(_parser.parse(pattern))
+    return text.swapcase() if pattern.startswith("(?i)") and rng.random() < 0.3 else text

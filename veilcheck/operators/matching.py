@@ -30,7 +30,7 @@ _ASSIGNED_NAME = regex.java(rf"(?<![A-Za-z0-9_\-{_FOLDED}])([A-Za-z0-9_\-{_FOLDE
 
 _LINE_CONDITIONS = {
     "url": lambda line: line.contains("://"),
-    "pem": lambda line: line.contains("-----BEGIN"),
+    "pem": lambda line: line.contains("-----") & line.rlike("(?iu)-----begin"),
     "ssh": lambda line: line.contains("ssh-"),
     "bot id": lambda line: line.rlike(regex.java(r"\d{8}:")),
     "digits": lambda line: line.rlike(regex.java(r"\d{10}")),
