@@ -27,6 +27,7 @@ from veilcheck.session import work_dir
 from veilcheck.sinks import reports
 from veilcheck.sources.archives import explode_archives
 from veilcheck.sources.code_tree import read_code_tree
+from veilcheck.sources.tables import read_texts
 from veilcheck.sources.targets import classify_targets
 from veilcheck.streaming import files as file_stream
 from veilcheck.streaming import lines as line_stream
@@ -64,7 +65,7 @@ def _files(spark, sf, mode="dirs", opts=ScanOptions()) -> DataFrame:
 
 
 def _documents(spark, sf) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return read_texts(spark, f"{sf}/documents.parquet", "doc_id", "text")
 
 
 def _lines(spark, sf) -> DataFrame:
@@ -236,7 +237,7 @@ def _(spark, sf):
 
 @query("src_6_lines", o.exploded("doc_id", "documents", "text"))
 def _(spark, sf):
-    return context.numbered_lines(_documents(spark, sf).select("doc_id", "text"), "text")
+    return context.numbered_lines(_documents(spark, sf), "text")
 
 
 @query("src_7_path_facts", f"""
@@ -281,7 +282,7 @@ def _(spark, sf):
 @query("flt_3_matchable", f"""
 SELECT doc_id, line_number FROM ({o.exploded('doc_id', 'documents', 'text')}) WHERE {o.matchable('line')}""")
 def _(spark, sf):
-    lines = context.numbered_lines(_documents(spark, sf).select("doc_id", "text"), "text")
+    lines = context.numbered_lines(_documents(spark, sf), "text")
     return lines.filter(text.matchable("line")).select("doc_id", "line_number")
 
 
@@ -338,7 +339,7 @@ def _(spark, sf):
 @query("jn_1_match_documents", "SELECT doc_id, line_number, secret_type, match_ord, value FROM ("
        + o.matches(rules("full"), "doc_lines", "doc_id") + ")")
 def _(spark, sf):
-    lines = context.numbered_lines(_documents(spark, sf).select("doc_id", "text"), "text")
+    lines = context.numbered_lines(_documents(spark, sf), "text")
     return matching.match_rules(lines.filter(text.matchable("line")), rules("full")).select(
         "doc_id", "line_number", "secret_type", "match_ord", "value"
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilcheck.sources.tables import read_texts
+
 CODE_FILES = """
 WITH k AS (SELECT *, CAST(doc_id AS STRING) AS s, md5(CAST(doc_id AS STRING)) AS h,
                   md5(source) AS g, md5(lang) AS l, chr(10) AS nl FROM documents)
@@ -86,13 +88,17 @@ VIEWS = {
     "code_files": CODE_FILES, "scripts": SCRIPTS, "blobs": BLOBS, "targets": TARGETS, "reviews": REVIEWS,
     "manifest": MANIFEST,
 }
-BASE_TABLES = ["documents", "pages"]
+# The base tables and the columns that the derived inputs need.
+BASE_TABLES = {"documents": ["doc_id", "text", "lang", "source"], "pages": ["page_id", "url"]}
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input as a DataFrame over the tables in ``sf_dir``."""
-    for table in BASE_TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    if "code_files" in VIEWS[name]:
+    sql = VIEWS[name]
+    derived = "code_files" in sql
+    for table, columns in BASE_TABLES.items():
+        if f"FROM {table}" in (sql + CODE_FILES if derived else sql):
+            read_texts(spark, f"{sf_dir}/{table}.parquet", *columns).createOrReplaceTempView(table)
+    if derived:
         spark.sql(CODE_FILES).createOrReplaceTempView("code_files")
-    return spark.sql(VIEWS[name])
+    return spark.sql(sql)

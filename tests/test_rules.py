@@ -37,7 +37,7 @@ def test_unknown_rule_set():
 def test_every_rule_has_one_known_gate():
     full = rules("full")
     assert all(len(key.split(":", 1)) == 2 for key in full.keys)
-    known = set(matching._LINE_CONDITIONS) | set(matching._ASSIGNED_CONDITIONS)
+    known = set(matching._LINE_CONDITIONS) | set(matching._NAME_CONDITIONS)
     assert set(full.classes) <= known
 
 

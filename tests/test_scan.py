@@ -200,3 +200,19 @@ def test_many_unused_secrets_are_cheap(files):
     found = detect(files({"a.py": body + "\nprint(KEY_7)"}))
     assert found.filter(F.size("taint_traces") > 0).count() == 1
     assert found.count() == sum("1234" not in f"{i:06d}" for i in range(20_000))
+
+
+def test_blocks_change_nothing(files):
+    rng = random.Random(5)
+    parts = [TOKEN, OTHER, "x", "", "# api_key", "word " * 9, "password: 'hunter2-hunter3'", "é", "a\rb", "c\x0bd"]
+    texts = {}
+    for i in range(12):
+        ends = rng.choice([["\n"], ["\r\n"], ["\n", "\r", "\u2028", "\x0c", "\n"]])
+        body = "".join(rng.choice(parts) + rng.choice(ends) for _ in range(rng.randint(0, 40)))
+        texts[f"f{i}.txt"] = body + rng.choice(["", TOKEN])
+        texts[f"f{i}.py"] = body
+    df = files(texts)
+    whole = sorted(map(repr, detect(df).collect()))
+    assert whole
+    for size in (1, 7, 60, 300):
+        assert sorted(map(repr, detect(df, block_chars=size).collect())) == whole, size

@@ -15,6 +15,10 @@ SPACE = (
     r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a"
     r"\u2028\u2029\u202f\u205f\u3000"
 )
+# The same white space as text, for trimming.
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _CLASSES = {"w": WORD, "s": SPACE, "d": r"\p{Nd}"}
 _BOUNDARY = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 

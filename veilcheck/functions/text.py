@@ -10,9 +10,6 @@ from . import regex
 
 # Every character (or pair) that ends a line.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-_TRAILING_SPACE = rf"(?<![{regex.SPACE}])[{regex.SPACE}]+\z"
-_LEADING_SPACE = rf"\A[{regex.SPACE}]+"
-_BLANK_OR_COMMENT = rf"\A[{regex.SPACE}]*(?:\z|#|//)"
 
 
 def col(c: Column | str) -> Column:
@@ -26,16 +23,17 @@ def split_lines(content: Column | str) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(rstrip(text), _LEADING_SPACE, "")
+    return F.btrim(col(text), F.lit(regex.SPACE_CHARS))
 
 
 def rstrip(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), _TRAILING_SPACE, "")
+    return F.rtrim(col(text), F.lit(regex.SPACE_CHARS))
 
 
 def matchable(line: Column | str) -> Column:
     """False for blank lines and lines that start as a ``#`` or ``//`` comment."""
-    return ~col(line).rlike(_BLANK_OR_COMMENT)
+    start = F.ltrim(col(line), F.lit(regex.SPACE_CHARS))
+    return (start != "") & ~start.startswith("#") & ~start.startswith("//")
 
 
 def file_name(path: Column | str) -> Column:

@@ -28,32 +28,38 @@ _FOLDED_TO = "skii"
 
 _ASSIGNED_NAME = regex.java(rf"(?<![A-Za-z0-9_\-{_FOLDED}])([A-Za-z0-9_\-{_FOLDED}]++)\s*+[=:]")
 
+_RUN = r"(?<![A-Za-z0-9_/+=\-])[A-Za-z0-9_/+=\-]{20}"
+
 _LINE_CONDITIONS = {
     "url": lambda line: line.contains("://"),
     "pem": lambda line: line.contains("-----") & line.rlike("(?iu)-----begin"),
     "ssh": lambda line: line.contains("ssh-"),
-    "bot id": lambda line: line.rlike(regex.java(r"\d{8}:")),
+    "bot id": lambda line: line.contains(":") & line.rlike(regex.java(r"\d{8}:")),
     "digits": lambda line: line.rlike(regex.java(r"\d{10}")),
-    "run": lambda line: line.rlike(r"(?<![A-Za-z0-9_/+=\-])[A-Za-z0-9_/+=\-]{20}"),
+    "run": lambda line: line.rlike(_RUN),
     "auth": lambda line: line.rlike("(?iu)bearer|basic"),
-    "aws": lambda line: line.rlike("(?iu)aws"),
+    "aws": lambda line: line.rlike("(?iu)aws") & line.rlike(_RUN),
     "yandex": lambda line: line.contains("yandex"),
-    "counter": lambda line: line.rlike(r"(?iu)ym\("),
+    "counter": lambda line: line.contains("(") & line.rlike(r"(?iu)ym\("),
     "cloud file": lambda line: (
         line.contains("service_account") | line.contains("AccountKey=") | line.contains("?sv=")
         | line.contains("_authToken")
     ),
+    "setting": lambda line: _has_assignment(line) & line.rlike(regex.java(r"[=:]\s*['\"]?[^\s'\"]{8}")),
 }
-# These also need an assignment on the line.
-_ASSIGNED_CONDITIONS = {
-    "key": lambda line: line.rlike(regex.java(r"(?i)key\s*[=:]")),
-    "secret": lambda line: line.rlike(regex.java(r"(?i)(?:secret|password|passwd|pwd)\s*[=:]")),
-    "string": lambda line: line.rlike(regex.java(r"(?i)string\s*[=:]")),
-    "host": lambda line: line.rlike(regex.java(r"(?i)(?:host|server|endpoint)\s*[=:]")),
-    "setting": lambda line: line.rlike(regex.java(r"[=:]\s*['\"]?[^\s'\"]{8}")),
+# These look at the identifiers before ``=`` or ``:``, in plain spelling.
+_NAME_CONDITIONS = {
+    "key": r"key\z",
+    "secret": r"(?:secret|password|passwd|pwd)\z",
+    "string": r"string\z",
+    "host": r"(?:host|server|endpoint)\z",
 }
 
 
+def _has_assignment(line: Column) -> Column:
+    return line.contains("=") | line.contains(":")
+
+
 def _strings(*items: Column) -> Column:
     return F.array(*items) if items else F.array().cast("array<string>")
 
@@ -75,38 +81,40 @@ def _start_pattern(starts: list[str]) -> str:
     return f"(?=[{''.join(by_first)}])(?<![{regex.WORD}])(?:{'|'.join(branches)})"
 
 
-def _name_keys(line: Column, known: list[str]) -> Column:
-    names = F.regexp_extract_all(line, F.lit(_ASSIGNED_NAME), F.lit(1))
-
-    def suffixes(name):
+def _name_keys(line: Column, rule_set: RuleSet) -> Column:
+    """Keys that follow from the identifiers before ``=`` or ``:`` on a line."""
+    names = F.transform(
+        F.regexp_extract_all(line, F.lit(_ASSIGNED_NAME), F.lit(1)),
         # Drop separators and fold case the way case-insensitive rules do.
-        plain = F.lower(F.translate(name, f"{_FOLDED}_-", _FOLDED_TO))
-        return F.array(*[F.concat(F.lit("name:"), F.right(plain, F.lit(n))) for n in NAME_SUFFIXES])
+        lambda name: F.lower(F.translate(name, f"{_FOLDED}_-", _FOLDED_TO)),
+    )
+    known = rule_set.name_keys
+
+    def keys(name):
+        suffixes = F.array(*[F.concat(F.lit("name:"), F.right(name, F.lit(n))) for n in NAME_SUFFIXES])
+        return F.concat(
+            F.filter(suffixes, lambda key: key.isin(known)) if known else _strings(),
+            *[_key_if(name.rlike(_NAME_CONDITIONS[c]), f"class:{c}") for c in rule_set.classes if c in _NAME_CONDITIONS],
+        )
 
-    keys = F.filter(F.flatten(F.transform(names, suffixes)), lambda key: key.isin(known))
-    return F.array_distinct(keys)
+    return F.array_distinct(F.flatten(F.transform(names, keys)))
 
 
 def gate_keys(line: Column | str, rule_set: RuleSet) -> Column:
     """Distinct keys of the gates that a line passes."""
     c = col(line)
-    free, tied = [], []
+    parts = [_strings()]
     for name in rule_set.classes:
         if name in _LINE_CONDITIONS:
-            free.append(_key_if(_LINE_CONDITIONS[name](c), f"class:{name}"))
-        elif name in _ASSIGNED_CONDITIONS:
-            tied.append(_key_if(_ASSIGNED_CONDITIONS[name](c), f"class:{name}"))
-        else:
-            free.append(_strings(F.lit(f"class:{name}")))
+            parts.append(_key_if(_LINE_CONDITIONS[name](c), f"class:{name}"))
+        elif name not in _NAME_CONDITIONS:
+            parts.append(_strings(F.lit(f"class:{name}")))
     if rule_set.starts:
         found = F.regexp_extract_all(c, F.lit(_start_pattern(rule_set.starts)), F.lit(0))
-        free.append(F.array_distinct(F.transform(found, lambda s: F.concat(F.lit("start:"), s))))
-    if rule_set.name_keys:
-        tied.append(_name_keys(c, rule_set.name_keys))
-    if tied:
-        has_assignment = c.contains("=") | c.contains(":")
-        free.append(F.when(has_assignment, F.concat(*tied)).otherwise(_strings()))
-    return F.concat(_strings(), *free)
+        parts.append(F.array_distinct(F.transform(found, lambda s: F.concat(F.lit("start:"), s))))
+    if rule_set.name_keys or set(rule_set.classes) & set(_NAME_CONDITIONS):
+        parts.append(F.when(_has_assignment(c), _name_keys(c, rule_set)).otherwise(_strings()))
+    return F.concat(*parts)
 
 
 def line_matches(line: Column | str, keys: Column, rule_set: RuleSet) -> Column:
