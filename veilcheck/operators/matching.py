@@ -123,8 +123,8 @@ def line_matches(line: Column | str, keys: Column, rule_set: RuleSet) -> Column:
     Elements: ``rule_ord, secret_type, base_score, category, match_ord, value``,
     in (rule, match) order.
     """
-    c, index = col(line), rule_set.index()
-    candidates = F.array_sort(F.flatten(F.transform(keys, lambda key: F.element_at(index, key))))
+    c, index, table = col(line), rule_set.index(), rule_set.table()
+    candidates = F.sort_array(F.flatten(F.transform(keys, lambda key: F.element_at(index, key))))
 
     def one_rule(rule):
         values = F.regexp_extract_all(c, rule["regex"], rule["group_idx"])
@@ -140,7 +140,7 @@ def line_matches(line: Column | str, keys: Column, rule_set: RuleSet) -> Column:
             ),
         )
 
-    return F.flatten(F.transform(candidates, one_rule))
+    return F.flatten(F.transform(F.transform(candidates, lambda i: F.get(table, i)), one_rule))
 
 
 def match_rules(lines: DataFrame, rule_set: RuleSet | None = None, line: str = "line") -> DataFrame:

@@ -19,6 +19,7 @@ from .catalogue import ANY, Rule
 RULE_SCHEMA = (
     "rule_ord int, secret_type string, regex string, group_idx int, base_score int, category string, gate string"
 )
+_RULE_FIELDS = ["rule_ord", "secret_type", "regex", "group_idx", "base_score", "category"]
 _RULE_STRUCT = "struct<rule_ord:int,secret_type:string,regex:string,group_idx:int,base_score:int,category:string>"
 
 # Assigned names are indexed by the longest of these suffix lengths that fits.
@@ -91,15 +92,19 @@ class RuleSet:
 
     @cached_property
     def _index_json(self) -> str:
-        by_key: dict[str, list[dict]] = {}
+        by_key: dict[str, list[int]] = {}
         for row in self.rows:
-            rule = dict(zip(["rule_ord", "secret_type", "regex", "group_idx", "base_score", "category"], row))
-            by_key.setdefault(row[-1], []).append(rule)
+            by_key.setdefault(row[-1], []).append(row[0])
         return json.dumps(by_key)
 
     def index(self) -> Column:
-        """Literal map: gate key -> rules behind it (folded once, when planned)."""
-        return F.from_json(F.lit(self._index_json), f"map<string,array<{_RULE_STRUCT}>>")
+        """Literal map: gate key -> ordinals of the rules behind it (folded when planned)."""
+        return F.from_json(F.lit(self._index_json), "map<string,array<int>>")
+
+    def table(self) -> Column:
+        """Literal array of the rules, by ordinal."""
+        rules_ = [dict(zip(_RULE_FIELDS, row)) for row in self.rows]
+        return F.from_json(F.lit(json.dumps(rules_)), f"array<{_RULE_STRUCT}>")
 
 
 @lru_cache
