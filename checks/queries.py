@@ -164,6 +164,8 @@ TRACE_TEXT_SQL = """coalesce((SELECT string_agg(l.var || ':' || l.src || ':' ||
 SELECT path, md5(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM files""")
 def _(spark, sf):
     root = Path(work_dir(spark, "tree").removeprefix("file:"))
+    if "://" in str(root):
+        raise ValueError(f"a file tree needs a folder that all executors have mounted, not {root}")
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tests import brute, corpus
@@ -176,6 +177,12 @@ def test_run_scan_filters(spark, files):
         run_scan(df, min_severity="SEVERE")
 
 
+def test_scanned_files_are_counted(files):
+    seen = Observation("seen")
+    found = run_scan(files({"a.txt": TOKEN, "b.txt": "x", "c.png": "y", "d.md": ""}), exclude=["d*"], observation=seen)
+    assert found.count() == 1 and seen.get == {"files": 2}
+
+
 def test_thresholds(files):
     opts = ScanOptions(threshold_critical=1)
     assert {r.severity for r in scanned(files, {"a.txt": TOKEN}, opts=opts)} == {"CRITICAL"}

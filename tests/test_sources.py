@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilcheck.options import ScanOptions
-from veilcheck.sources.archives import explode_archives
+from veilcheck.sources.archives import explode_archives, read_archives
 from veilcheck.sources.code_tree import read_code_tree
 from veilcheck.sources.targets import classify_targets
 
@@ -80,6 +80,15 @@ def test_archives(spark):
     assert got == [("a.zip", ".env", "5"), ("a.zip", "x/a.py", "1"), ("b.zip", "x/a.py", "6")]
 
 
+def test_archive_files(spark, tmp_path):
+    for name in ("a", "b"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as zf:
+            zf.writestr("src/x.py", name)
+    rows = read_archives(spark, [str(tmp_path / "a.zip"), str(tmp_path / "b.zip")]).collect()
+    assert sorted((os.path.basename(r.archive), r.path, r.content) for r in rows) == [
+        ("a.zip", "src/x.py", "a"), ("b.zip", "src/x.py", "b")]
+
+
 @pytest.mark.parametrize("url, kind, name", [
     ("git@host:x/y", "git", None), ("https://h/x.git", "git", None), ("ssh://h/x.git", "git", None),
     ("HTTPS://GitHub.com/a", "zip", None), ("https://github.com/a", "git", None), ("https://h/x.git?y=1", "git", None),

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -182,12 +182,12 @@ def detect(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOptions
 def rescore(hits: DataFrame, opts: ScanOptions = DEFAULT_OPTIONS) -> DataFrame:
     """Raise the score of findings whose variable reaches a risky call; then rate them all."""
     tainted = F.size("taint_traces") > 0
-    return (
-        hits.withColumn("score", F.col("score") + F.when(tainted, fv.TAINT_BONUS).otherwise(0))
-        .withColumn("entropy", scoring.round2(F.col("entropy")))
-        .withColumn("severity", scoring.severity("score", opts))
-        .withColumn("confidence", scoring.confidence("score", "entropy", "structural_valid", tainted))
-    )
+    final = F.col("score") + F.when(tainted, fv.TAINT_BONUS).otherwise(0)
+    rated = hits.withColumns({"score": final, "entropy": scoring.round2(F.col("entropy"))})
+    return rated.withColumns({
+        "severity": scoring.severity("score", opts),
+        "confidence": scoring.confidence("score", "entropy", "structural_valid", tainted),
+    })
 
 
 def scan_content(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOptions = DEFAULT_OPTIONS,
@@ -197,29 +197,30 @@ def scan_content(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOp
         files = files.withColumn("source", F.lit("current"))
     others = [c for c in files.columns if c not in ("path", "content", "source")]
     rated = rescore(detect(files, rule_set, opts, with_traces), opts)
-    return (
-        rated.withColumnRenamed("path", "file")
-        .withColumn("line_content", text.rstrip("line"))
-        .withColumn("matched_value", text.truncate("value", fv.VALUE_LIMIT))
-        .select(*others, *FINDING)
-    )
+    stored = {
+        "file": F.col("path"), "line_content": text.rstrip("line"), "matched_value": text.truncate("value", fv.VALUE_LIMIT),
+    }
+    return rated.select(*others, *[stored[c].alias(c) if c in stored else c for c in FINDING])
 
 
 def run_scan(files: DataFrame, blobs: DataFrame | None = None, reviews: DataFrame | None = None, *,
              rule_set: RuleSet | None = None, opts: ScanOptions = DEFAULT_OPTIONS, min_severity: str = "LOW",
              include: list[str] | None = None, exclude: list[str] | None = None,
              max_commits: int = fv.HISTORY_COMMITS, skip_mode: str = "dirs",
-             where: Column | None = None) -> DataFrame:
+             where: Column | None = None, observation: Observation | None = None) -> DataFrame:
     """Findings of files, optionally of their history and of code reviews.
 
     ``files(path, content)`` is filtered by skip lists, globs and ``where``;
     ``blobs`` adds the history, ``reviews`` finished review findings.  Globs
     apply to the files and again to the findings, so history findings are
-    filtered by their ``history/`` path only.
+    filtered by their ``history/`` path only.  ``observation`` receives the number
+    of ``files`` that were scanned, once the findings are computed.
     """
     current = paths.glob_filter(paths.skip_paths(files, skip_mode, opts), include, exclude)
     if where is not None:
         current = current.filter(where)
+    if observation is not None:
+        current = current.observe(observation, F.count("*").alias("files"))
     parts = [scan_content(current, rule_set, opts)]
     if blobs is not None:
         parts.append(scan_content(history_files(blobs, max_commits, opts), rule_set, opts))

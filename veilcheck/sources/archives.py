@@ -7,7 +7,8 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..options import DEFAULT_OPTIONS, ScanOptions
 from .code_tree import BATCH_BYTES, _suffix
@@ -55,3 +56,9 @@ def explode_archives(archives: DataFrame, opts: ScanOptions = DEFAULT_OPTIONS) -
             yield batch(rows)
 
     return archives.select("archive", "bytes").mapInArrow(unpack, SCHEMA)
+
+
+def read_archives(spark: SparkSession, paths: list[str] | str, opts: ScanOptions = DEFAULT_OPTIONS) -> DataFrame:
+    """``files(archive, path, content)`` of zip files, from any file system Spark reads."""
+    files = spark.read.format("binaryFile").load(paths)
+    return explode_archives(files.select(F.col("path").alias("archive"), F.col("content").alias("bytes")), opts)
