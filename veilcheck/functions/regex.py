@@ -19,6 +19,8 @@ SPACE = (
 SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
     "\u2028\u2029\u202f\u205f\u3000"
 )
+# Characters beyond ASCII that equal an ASCII letter when case is ignored.
+FOLDED, FOLDED_TO = "\u017f\u212a\u0130\u0131", "skii"
 _CLASSES = {"w": WORD, "s": SPACE, "d": r"\p{Nd}"}
 _BOUNDARY = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 

@@ -42,7 +42,7 @@ def is_false_positive(value: Column | str, opts: ScanOptions = DEFAULT_OPTIONS)
     """Placeholder wording, or too few different characters."""
     v = col(value)
     few = F.size(F.array_distinct(F.split(v, ""))) < fv.MIN_DISTINCT_CHARS
-    return v.rlike(regex.any_of(opts.placeholders, "(?iu)")) | few
+    return few | v.rlike(regex.any_of(opts.placeholders, "(?iu)"))
 
 
 def validate_structure(secret_type: Column | str, value: Column | str) -> Column:

@@ -70,6 +70,16 @@ def context_window(lines: Column, i: Column) -> Column:
     return F.array_join(F.slice(lines, first + 1, i + fv.CONTEXT_RADIUS + 1 - first), " ")
 
 
+def fold_case(text: Column | str) -> Column:
+    """Lower case as case-insensitive matching of ASCII words sees it.
+
+    Four letters beyond ASCII equal an ASCII letter when case is ignored.
+    """
+    return F.lower(F.translate(col(text), regex.FOLDED, regex.FOLDED_TO))
+
+
 def has_context(window: Column | str) -> Column:
     """Whether a text contains one of the context keywords."""
-    return F.lower(col(window)).rlike("|".join(fv.CONTEXT_KEYWORDS))
+    # Keywords that hold another one are implied by it.
+    needed = [k for k in fv.CONTEXT_KEYWORDS if not any(o != k and o in k for o in fv.CONTEXT_KEYWORDS)]
+    return F.lower(col(window)).rlike("|".join(needed))

@@ -19,14 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regex
-from ..functions.text import col
+from ..functions.text import col, fold_case
 from .rules import NAME_SUFFIXES, RuleSet, rules
 
-# Characters beyond ASCII that equal an ASCII letter when case is ignored.
-_FOLDED = "\u017f\u212a\u0130\u0131"
-_FOLDED_TO = "skii"
-
-_ASSIGNED_NAME = regex.java(rf"(?<![A-Za-z0-9_\-{_FOLDED}])([A-Za-z0-9_\-{_FOLDED}]++)\s*+[=:]")
+_NAME_CHARS = rf"A-Za-z0-9_\-{regex.FOLDED}"
+_ASSIGNED_NAME = regex.java(rf"(?<![{_NAME_CHARS}])([{_NAME_CHARS}]++)\s*+[=:]")
 
 _RUN = r"(?<![A-Za-z0-9_/+=\-])[A-Za-z0-9_/+=\-]{20}"
 
@@ -86,7 +83,7 @@ def _name_keys(line: Column, rule_set: RuleSet) -> Column:
     names = F.transform(
         F.regexp_extract_all(line, F.lit(_ASSIGNED_NAME), F.lit(1)),
         # Drop separators and fold case the way case-insensitive rules do.
-        lambda name: F.lower(F.translate(name, f"{_FOLDED}_-", _FOLDED_TO)),
+        lambda name: F.translate(fold_case(name), "_-", ""),
     )
     known = rule_set.name_keys
 

@@ -85,21 +85,32 @@ def _candidates(lines: Column, rule_set: RuleSet) -> Column:
 def _matches(lines: Column, rule_set: RuleSet, opts: ScanOptions) -> Column:
     """Matches with a plausible value."""
 
-    def on_line(c):
+    def plausible(c):
         kept = F.filter(
             matching.line_matches(c["line"], c["keys"], rule_set),
             lambda m: ~scoring.is_false_positive(m["value"], opts),
         )
-        return F.transform(kept, lambda m: F.struct(
+        return F.struct(c["i"].alias("i"), c["line"].alias("line"), kept.alias("kept"))
+
+    # The surroundings are looked at once per line, and only on lines with a match.
+    def placed(c):
+        return F.struct(
             (F.col("_first") + c["i"] - F.col("_skip") + 1).alias("line_number"),
             c["line"].alias("line"),
+            c["kept"].alias("kept"),
             text.has_context(text.context_window(lines, c["i"])).alias("context_match"),
+        )
+
+    def spread(c):
+        return F.transform(c["kept"], lambda m: F.struct(
+            *[c[name].alias(name) for name in ("line_number", "line", "context_match")],
             *[m[name].alias(name) for name in (
                 "rule_ord", "secret_type", "base_score", "category", "match_ord", "value",
             )],
         ))
 
-    return F.flatten(F.transform(_candidates(lines, rule_set), on_line))
+    matched = F.filter(F.transform(_candidates(lines, rule_set), plausible), lambda c: F.size(c["kept"]) > 0)
+    return F.flatten(F.transform(F.transform(matched, placed), spread))
 
 
 def _scored(matches: Column, ext: Column) -> Column:
