@@ -11,7 +11,6 @@ subtree that holds most of the files does not end up in one task.
 
 from __future__ import annotations
 
-import fnmatch
 import json
 import os
 from collections.abc import Iterator
