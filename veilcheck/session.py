@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder and reliable checkpoints."""
+"""Session helpers: the shared folder, written tables and reliable checkpoints."""
 
 from __future__ import annotations
 
@@ -11,17 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it.
+    """The folder that all executors share: the context's checkpoint folder.
 
-    Only where none is set, as in tests, a temporary folder takes its place.
+    Spark sets it from ``spark.checkpoint.dir``; a folder given with
+    ``SparkContext.setCheckpointDir`` counts as well.  Only a local session, as
+    in tests, may go without: it takes a temporary folder.  A cluster without
+    the setting is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = folder or getattr(spark.sparkContext, "_veilcheck_dir", None)
-    if not folder:
-        folder = spark.sparkContext._veilcheck_dir = tempfile.mkdtemp(prefix="veilcheck-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="veilcheck-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -35,6 +40,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder as Parquet and read again.
+
+    Like a checkpoint it cuts the lineage, and the size of the files lets Spark
+    choose a join by what is really there.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def per_gateway(build):
     """Memoises a function that builds Columns: large expressions are built once per JVM."""
     cache: dict = {}
