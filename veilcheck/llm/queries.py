@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from veilcheck.llm import decontaminate, host_quality, near_dup, packing
+from veilcheck.llm import chat, decontaminate, host_quality, language_model, licences, near_dup, packing, sharding, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,16 +21,57 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader finds in every formatted conversation, and in one that consists of control strings."""
+    conv_id, text = chat.HOSTILE
+    hostile = spark.createDataFrame([(conv_id, 0, "user", text), (conv_id, 1, chat.ASSISTANT, text)], "conv_id long, turn long, role string, text string")
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile)
+    vocabulary = chat.read_ranks(spark)
+    return chat.digests(chat.format_chats(conversations, vocabulary), vocabulary)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in its bin."""
     return packing.pack_sequences(_table(spark, sf_dir, "documents"))
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with each licence rule that it holds."""
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_host_quality, op4_best_fit_packing, op6_simhash_components)}
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, url_filter.labelled_urls(pages))
+
+
+def op8_range_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word pieces of every document."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document."""
+    return language_model.scores(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_host_quality, op3_chat_format, op4_best_fit_packing, op5_licence_scan,
+        op6_simhash_components, op7_url_filter, op8_range_sharding, op9_token_counts, op10_lm_scores,
+    )
+}
 
-SQL: dict[str, str] = {}
+SQL = {"op3_chat_format": chat.SQL, "op5_licence_scan": licences.SQL}
