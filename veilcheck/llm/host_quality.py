@@ -144,3 +144,27 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source")
     passed = docs.withColumn(mark, measures(F.col(text_col)))
     passed = passed.filter(~base_failed(F.col(f"{mark}.n_words"), F.col(f"{mark}.n_repeat_words"))).select(docs.columns)
     return passed.join(failed, host_col, "left_anti").select(docs.columns)
+
+
+#: The same measures, prior and verdicts over plain lists and windows; ids are unique.
+SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+     p AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i,
+             unnest(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) AS three FROM w),
+     g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, three) AS found FROM p),
+     c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM g, range(3) r(k) WHERE found > 1 GROUP BY doc_id),
+     m AS (SELECT w.doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(text, '[^{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
+     b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {int(100 * MAX_REPEAT_SHARE)} * n_words AS base_failed FROM m),
+     h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
+     s AS (SELECT sum(n) AS n, sum(f) AS f, count(*) AS j, sum(n * n) AS n2, sum(f * f / n) AS f2 FROM h),
+     v AS (SELECT f / n AS mean, (f2 - f * f / n) / nullif(j - 1, 0) AS between_, (f - f2) / nullif(n - j, 0) AS within_, (n - n2 / n) / nullif(j - 1, 0) AS size FROM s),
+     z AS (SELECT mean, greatest({MIN_STRENGTH}, least({MAX_STRENGTH},
+             coalesce(CASE WHEN between_ > within_ THEN size * within_ / (between_ - within_) END, {MAX_STRENGTH}))) AS strength FROM v),
+     q AS (SELECT source, (f + mean * strength) / (n + strength) > {MAX_HOST_RATE} AS failed FROM h, z)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(failed, false) AS kept
+FROM b LEFT JOIN q ON q.source = b.source
+"""

@@ -156,8 +156,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _sql() -> str:
     values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
-    code = lambda column: f"regexp_extract_all(array_to_string(list_transform({column}, s -> coalesce(known[s], CASE WHEN regexp_matches(s, '{FILLER}') THEN '' ELSE '.' END)), ''), '({'|'.join(CODES)})')"
-    plain = lambda cut, mark: f"list_transform(string_split({cut}, {mark}), s -> trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')))"
+    code = lambda column: f"regexp_extract_all(array_to_string(list_transform({column}, lambda s: coalesce(known[s], CASE WHEN regexp_matches(s, '{FILLER}') THEN '' ELSE '.' END)), ''), '({'|'.join(CODES)})')"
+    plain = lambda cut, mark: f"list_transform(string_split({cut}, {mark}), lambda s: trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')))"
     return rf"""
 WITH m AS (SELECT MAP([{", ".join(f"'{s}'" for s in SENTENCES.values())}], [{", ".join(f"'{x}'" for x in LETTERS.values())}]) AS known),
      d AS (SELECT doc_id, known, {plain(rf"regexp_replace(text, '{_END}[ \t\r]+', '\1' || chr(10), 'g')", "chr(10)")} AS by_line,
@@ -167,7 +167,7 @@ WITH m AS (SELECT MAP([{", ".join(f"'{s}'" for s in SENTENCES.values())}], [{",
      x AS (SELECT doc_id, lines, joined, unnest(list_distinct(lines || joined)) AS code FROM c),
      r(code, rule, licence) AS (VALUES {values((c, *r[:2]) for c, r in zip(CODES, RULES, strict=True))})
 SELECT doc_id, rule, licence, length(code) AS n_sentences,
-       greatest(len(list_filter(lines, y -> y = code)), len(list_filter(joined, y -> y = code))) AS n_found
+       greatest(len(list_filter(lines, lambda y: y = code)), len(list_filter(joined, lambda y: y = code))) AS n_found
 FROM x JOIN r USING (code)
 """
 

@@ -18,7 +18,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
-    return host_quality.judge(_table(spark, sf_dir, "documents"))
+    return host_quality.judge(_table(spark, sf_dir, "documents")).drop("host_rate")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,4 @@ QUERIES = {
     )
 }
 
-SQL = {"op3_chat_format": chat.SQL, "op5_licence_scan": licences.SQL}
+SQL = {"op2_host_quality": host_quality.SQL, "op3_chat_format": chat.SQL, "op5_licence_scan": licences.SQL, "op8_range_sharding": sharding.SQL}

@@ -120,12 +120,18 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-#: The same placement by one ordering of everything.
+#: The same placement by one ordering of everything; CRC-32 by its table of 256 values.
 SQL = """
-WITH k AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents),
+WITH RECURSIVE g(i, c, k) AS (
+       SELECT i, CAST(i AS BIGINT), 0 FROM range(256) r(i)
+       UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM g WHERE k < 8),
+     t AS (SELECT list(c ORDER BY i) AS tab FROM g WHERE k = 8),
+     b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+     k AS (SELECT doc_id, len(bytes) + 1 AS size,
+             xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, t),
      r AS (SELECT *, sum(size) OVER (ORDER BY doc_id) AS upto, sum(size) OVER () AS total FROM k),
      s AS (SELECT *, CAST((16 * (2 * upto - size)) // (2 * total) AS INTEGER) AS shard FROM r)
-SELECT doc_id, CAST(size AS BIGINT) AS size, 'bytes' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM s
 """
