@@ -35,6 +35,8 @@ SHARD_ROWS, FULL_SHARD = 2048, 8192
 SPLIT_SHARDS, SPLIT_INTO, SAMPLE_ROWS = 256, 256, 1 << 16
 #: A split that leaves a child with more than this share of the rows has failed.
 SPLIT_SHARE = 0.9
+#: Buckets of ids, of which those are marked that hold one to go.
+MARKS = 1 << 23
 _BLOCK = 1 << 16
 
 
@@ -284,15 +286,38 @@ def near_duplicates(
     return own.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _marked(ids: DataFrame, id_col: str) -> Column:
+    """True for each id of ``ids``, and for a few others that share a bucket with one.
+
+    The marks have a fixed size, however many ids there are.
+    """
+    buckets = lambda c: F.xxhash64(c).bitwiseAND(F.lit(MARKS - 1)).cast("int")
+    marks = np.zeros(MARKS, bool)
+    marks[ids.select(buckets(F.col(id_col)).alias("b")).distinct().toPandas().b.to_numpy(np.int64)] = True
+    sent = ids.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    @F.arrow_udf("boolean")
+    def run(at: pa.Array) -> pa.Array:
+        where = at.to_numpy(zero_copy_only=False)
+        return pa.array((sent.value[where >> 3] >> (7 - (where & 7)) & 1).astype(bool))
+
+    return run(buckets(F.col(id_col)))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without copies: of each component, the one with the smallest id stays.
 
     All columns are kept.  Of rows that repeat an id, one stays.  Rows without
-    an id cannot be told apart and all stay.
+    an id cannot be told apart and all stay.  Texts stay where they lie unless
+    their id's bucket has an id that may go; only those are joined exactly.
     """
     found = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).isNotNull())
-    own = written(found.groupBy(id_col).agg(F.min("component_id").alias("least"), F.count("*").alias("rows")), "verdicts")
-    copies = own.filter(F.col("least") != F.col(id_col))
-    repeated = own.filter((F.col("least") == F.col(id_col)) & (F.col("rows") > 1)).select(id_col)
-    once = docs.join(copies.select(id_col).union(repeated), id_col, "left_anti")
-    return once.unionByName(docs.join(repeated, id_col, "left_semi").dropDuplicates([id_col])).select(docs.columns)
+    own = found.groupBy(id_col).agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
+    own = written(own.filter((F.col("least") != F.col(id_col)) | (F.col("rows") > 1)), "verdicts")
+    repeated = own.filter(F.col("least") == F.col(id_col)).select(id_col)
+    doubtful = _marked(own, id_col)
+    kept = docs.filter(~doubtful).unionByName(docs.filter(doubtful).join(own.select(id_col), id_col, "left_anti").select(docs.columns))
+    if not repeated.isEmpty():
+        again = docs.filter(doubtful).join(repeated, id_col, "left_semi").dropDuplicates([id_col])
+        kept = kept.unionByName(again.select(docs.columns))
+    return kept
