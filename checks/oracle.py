@@ -325,7 +325,7 @@ SELECT v.file_id, v.path, v.verdict_ord, v.severity, v.code, CAST(v.number AS IN
   CASE WHEN number BETWEEN 1 AND len(ls) THEN {rstrip('ls[number]')} ELSE substr(code, 1, 200) END AS line_content
 FROM (SELECT v.*, c.ls, coalesce(v.line, CASE WHEN v.code <> '' THEN
         list_position(list_transform(c.ls, lambda x: contains(x, v.code)), true) END, 1) AS number
-      FROM verdicts v JOIN (SELECT path, {lines_of('content')} AS ls FROM code_files) c USING (path)) v""",
+      FROM verdicts v LEFT JOIN (SELECT path, {lines_of('content')} AS ls FROM code_files) c USING (path)) v""",
     "review_findings": """
 SELECT path AS file, line_number, line_content, 'AI Security' AS secret_type,
   substr(CASE WHEN code <> '' THEN code ELSE line_content END, 1, 80) AS matched_value,

@@ -27,13 +27,12 @@ from veilcheck.session import work_dir
 from veilcheck.sinks import reports
 from veilcheck.sources.archives import explode_archives
 from veilcheck.sources.code_tree import read_code_tree
-from veilcheck.sources.tables import read_texts
 from veilcheck.sources.targets import classify_targets
 from veilcheck.streaming import files as file_stream
 from veilcheck.streaming import lines as line_stream
 
 from . import oracle as o
-from .views import spark_view
+from .views import spark_view, test_table
 
 
 @dataclass(frozen=True)
@@ -65,7 +64,7 @@ def _files(spark, sf, mode="dirs", opts=ScanOptions()) -> DataFrame:
 
 
 def _documents(spark, sf) -> DataFrame:
-    return read_texts(spark, f"{sf}/documents.parquet", "doc_id", "text")
+    return test_table(spark, f"{sf}/documents.parquet", "doc_id", "text")
 
 
 def _lines(spark, sf) -> DataFrame:
@@ -179,7 +178,7 @@ def _(spark, sf):
         "overwrite").save()
     tree = read_code_tree(spark, str(root))
     return tree.select(
-        F.substring("path", len(str(root)) + 2, 4096).alias("path"), F.md5("content").alias("digest")
+        F.expr(f"substring(path, {len(str(root)) + 2})").alias("path"), F.md5("content").alias("digest")
     )
 
 

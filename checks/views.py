@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilcheck.sources.tables import read_texts
 
+# A few lines of each of ten kinds of files, and the whole text of the document after them.
 CODE_FILES = """
 WITH k AS (SELECT *, CAST(doc_id AS STRING) AS s, md5(CAST(doc_id AS STRING)) AS h,
                   md5(source) AS g, md5(lang) AS l, chr(10) AS nl FROM documents)
@@ -18,23 +19,23 @@ SELECT doc_id AS file_id,
   CASE doc_id % 10
    WHEN 0 THEN 'import requests' || nl || 'API_KEY = "AKIA' || upper(substr(h,1,16)) || '"' || nl
      || 'requests.get(url, headers=API_KEY)' || nl || 'print("done")' || nl
-   WHEN 1 THEN 'const token = "' || h || '";' || nl || '// token = "' || g || '"' || nl || 'console.log(token);'
+   WHEN 1 THEN 'const token = "' || h || '";' || nl || '// token = "' || g || '"' || nl || 'console.log(token);' || nl
    WHEN 2 THEN 'DB_PASSWORD="' || substr(h,1,20) || '"' || nl || 'URL=redis://svc:' || substr(g,1,8) || '@cache:6379/0' || nl
      || 'vk_token=' || h || substr(g,1,8) || nl || 'vk_api=' || substr(h,1,24) || nl || 'sber_api_key=' || substr(g,1,24) || nl
    WHEN 3 THEN 'auth: Bearer eyJ' || h || '.' || g || '.' || l || nl || 'password: "example-' || substr(l,1,10) || '"' || nl
      || 'api-key: ' || h || nl || 'client_id: ' || substr(h,1,8) || '-' || substr(h,9,4) || '-' || substr(h,13,4) || '-'
      || substr(h,17,4) || '-' || substr(h,21,12) || nl || 'a: crp_' || h || nl || 'b: crsa_' || g || nl
-     || 'c: tinkoff_' || l || nl || 'd: merchant_' || h
+     || 'c: tinkoff_' || l || nl || 'd: merchant_' || h || nl
    WHEN 4 THEN 'package main' || nl || nl || 'var id = "sber_' || h || '"' || nl || 'k = "AQ' || upper(h) || g || '"' || nl
      || 'v := "vk' || h || g || '"' || nl || 'bot := "' || CAST(1000000000 + doc_id AS STRING) || ':AA' || upper(h) || '"' || nl
      || 'o := "t1.' || h || g || l || upper(h) || '"' || nl || 'i := "eyJ' || h || '.eyJ' || g || '.t1.' || l || h || '"' || nl || 'fmt.Print(k)' || nl
-   WHEN 5 THEN text
-   WHEN 6 THEN 'token = "' || h || '"'
-   WHEN 7 THEN 'token = "' || h || '"'
+   WHEN 5 THEN ''
+   WHEN 6 THEN 'token = "' || h || '"' || nl
+   WHEN 7 THEN 'token = "' || h || '"' || nl
    WHEN 8 THEN '-----BEGIN ' || 'RSA PRIVATE KEY-----' || nl || h || nl
    ELSE 'import logging' || nl || 'SECRET = "' || upper(g) || h || '"' || nl || 'derived = SECRET' || nl || 'h = derived' || nl
      || 'x = 1' || nl || 'logging.info(h)' || nl || 'y = requests.post(u, data=h)' || nl
-  END AS content
+  END || coalesce(text, '') AS content
 FROM k
 """
 
@@ -69,13 +70,14 @@ SELECT page_id,
 FROM pages
 """
 
+# Every seventh review names a file that is not there.
 REVIEWS = """
-SELECT file_id, path,
+SELECT file_id, CASE WHEN file_id % 7 = 3 THEN 'gone/' ELSE '' END || path AS path,
   CASE file_id % 4 WHEN 0 THEN '[HIGH] - L3: requests.get(url)' || chr(10) || 'noise' || chr(10) || 'low - print("done")'
     WHEN 1 THEN '[SAFE]'
     WHEN 2 THEN 'КРИТИЧЕСКАЯ - L99: os.system(x)' || chr(10) || '[WHATEVER] - L1: x'
     ELSE ' [средняя] -  logging.info(h) ' || chr(10) || '[НИЗКАЯ] - not in file' END AS response
-FROM code_files WHERE file_id % 10 IN (0, 9)
+FROM code_files
 """
 
 MANIFEST = """
@@ -92,13 +94,18 @@ VIEWS = {
 BASE_TABLES = {"documents": ["doc_id", "text", "lang", "source"], "pages": ["page_id", "url"]}
 
 
+def test_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """A given table.  Those for tests come as one row group, which one task would scan alone, so their rows are dealt out."""
+    return read_texts(spark, path, *columns).repartition(spark.sparkContext.defaultParallelism)
+
+
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input as a DataFrame over the tables in ``sf_dir``."""
     sql = VIEWS[name]
     derived = "code_files" in sql
     for table, columns in BASE_TABLES.items():
         if f"FROM {table}" in (sql + CODE_FILES if derived else sql):
-            read_texts(spark, f"{sf_dir}/{table}.parquet", *columns).createOrReplaceTempView(table)
+            test_table(spark, f"{sf_dir}/{table}.parquet", *columns).createOrReplaceTempView(table)
     if derived:
         spark.sql(CODE_FILES).createOrReplaceTempView("code_files")
     return spark.sql(sql)

@@ -209,17 +209,14 @@ def test_many_unused_secrets_are_cheap(files):
     assert found.count() == sum("1234" not in f"{i:06d}" for i in range(20_000))
 
 
-def test_blocks_change_nothing(files):
-    rng = random.Random(5)
-    parts = [TOKEN, OTHER, "x", "", "# api_key", "word " * 9, "password: 'hunter2-hunter3'", "é", "a\rb", "c\x0bd"]
-    texts = {}
-    for i in range(12):
-        ends = rng.choice([["\n"], ["\r\n"], ["\n", "\r", "\u2028", "\x0c", "\n"]])
-        body = "".join(rng.choice(parts) + rng.choice(ends) for _ in range(rng.randint(0, 40)))
-        texts[f"f{i}.txt"] = body + rng.choice(["", TOKEN])
-        texts[f"f{i}.py"] = body
-    df = files(texts)
-    whole = sorted(map(repr, detect(df).collect()))
-    assert whole
-    for size in (1, 7, 60, 300):
-        assert sorted(map(repr, detect(df, block_chars=size).collect())) == whole, size
+@pytest.mark.parametrize("path", ["long.py", "long.js", "long.txt"])
+def test_long_texts_take_the_same_path(files, path):
+    """A text of ten megabytes has the findings of its parts."""
+    part = f"{'word ' * 20}\n" * 400 + f"{TOKEN}\nx\n# api_key\n{OTHER}\n"
+    text = part * 250
+    assert len(text) > 10_000_000
+    per_part = [(r.line_number, r.secret_type, r.score) for r in scanned(files, {path: part * 3}) if 404 < r.line_number <= 808]
+    rows = scanned(files, {path: text})
+    inner = [r for r in rows if 404 < r.line_number <= 404 * 249]
+    assert per_part and len(inner) == 248 * len(per_part)
+    assert [(r.line_number - 404 * i, r.secret_type, r.score) for i in range(248) for r in inner[i * len(per_part):(i + 1) * len(per_part)]] == per_part * 248

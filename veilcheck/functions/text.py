@@ -16,10 +16,18 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a transform over a one-element array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_lines(content: Column | str) -> Column:
     """Lines of a text, without their ends and without an empty last line."""
-    parts = F.split(col(content), LINE_ENDS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    def without_empty_last(parts):
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    return bind(F.split(col(content), LINE_ENDS, -1), without_empty_last)
 
 
 def strip(text: Column | str) -> Column:

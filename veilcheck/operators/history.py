@@ -45,14 +45,18 @@ def history_files(blobs: DataFrame, max_commits: int = fv.HISTORY_COMMITS, opts:
                   repo: list[str] | None = None) -> DataFrame:
     """``files(path, content, source)`` to scan from ``blobs``.
 
-    What to scan is decided on the keys alone; the texts are read once, for the
-    final semi-join.  An empty blob claims its hash before it is dropped.
+    What to scan is decided on the keys alone, of each ``repo`` by itself if
+    given.  Texts of older commits, skipped paths and empty blobs are dropped
+    before they are exchanged for the final semi-join.  An empty blob claims its
+    hash before it is dropped.
     """
-    kept = skip_paths(newest_commits(blobs.drop("content"), max_commits, repo), "parts", opts)
-    first = blobs.join(first_places(kept, repo), [*(repo or []), *PLACE], "left_semi")
+    kept = skip_paths(newest_commits(blobs, max_commits, repo), "parts", opts)
+    first = kept.filter(F.col("content") != "").join(
+        first_places(kept.drop("content"), repo), [*(repo or []), *PLACE], "left_semi"
+    )
     path = F.concat(
         F.lit("history/"), F.substring("commit_id", 1, fv.HISTORY_COMMIT_DIGITS), F.lit("/"), "path"
     )
-    return first.filter(F.col("content") != "").select(
+    return first.select(
         *(repo or []), path.alias("path"), "content", F.lit("history").alias("source")
     )

@@ -13,7 +13,7 @@ _ROW_BITS = (1 << 33) - 1
 
 
 def number_rows(df: DataFrame, order: list[Column], start: int = 0) -> DataFrame:
-    """Adds ``idx``, the position of each row in ``order``.
+    """Adds ``idx``, the position of each row in ``order``.  An action: it computes and writes the rows.
 
     One window over the table would pull it into one task.  Instead the rows are
     range-partitioned and sorted, each task numbers its own, and only one count

@@ -100,20 +100,33 @@ def locate_verdicts(verdicts: DataFrame, files: DataFrame) -> DataFrame:
     """Adds ``line_number`` and ``line_content`` from the reviewed file.
 
     The line is the one named, else the first that contains the quoted code,
-    else line 1.  The content is that line, or the code if there is no such line.
+    else line 1.  The content is that line, or the code if there is no such line
+    (or no such file).  Texts of files without a review are dropped before any
+    exchange, and a reviewed text is split once for all of its verdicts.
     """
-    texts = files.select("path", text.split_lines("content").alias("_lines"))
-    joined = verdicts.join(texts, "path")
-    code, lines = F.col("code"), F.col("_lines")
-    holding = F.array_position(F.transform(lines, lambda line: line.contains(code)), F.lit(True))
-    found = F.when((code != "") & (holding > 0), holding).otherwise(F.lit(1))
-    number = F.coalesce("line", found.cast("int"))
-    quote = F.substring(code, 1, fv.REVIEW_QUOTE_LIMIT)
-    content = F.when(
-        (F.col("line_number") >= 1) & (F.col("line_number") <= F.size(lines)),
-        text.rstrip(F.get(lines, F.col("line_number") - 1)),
-    ).otherwise(quote)
-    return joined.withColumn("line_number", number).withColumn("line_content", content).drop("_lines", "line")
+    others = [c for c in verdicts.columns if c != "path"]
+    reviewed = files.select("path", "content").join(verdicts.select("path").distinct(), "path", "left_semi")
+    by_file = verdicts.groupBy("path").agg(F.collect_list(F.struct(*others)).alias("_verdicts")).join(reviewed, "path", "left")
+
+    def located(verdict, lines):
+        code = verdict["code"]
+        holding = F.array_position(F.transform(lines, lambda line: line.contains(code)), F.lit(True))
+        found = F.when((code != "") & (holding > 0), holding).otherwise(F.lit(1))
+        return F.struct(verdict.alias("v"), F.coalesce(verdict["line"], found.cast("int")).alias("line_number"))
+
+    def with_content(place, lines):
+        number = place["line_number"]
+        content = F.when((number >= 1) & (number <= F.size(lines)), text.rstrip(F.get(lines, number - 1)))
+        quote = F.substring(place["v"]["code"], 1, fv.REVIEW_QUOTE_LIMIT)
+        return F.struct(
+            *[place["v"][c].alias(c) for c in others if c != "line"], number.alias("line_number"),
+            F.coalesce(content, quote).alias("line_content"),
+        )
+
+    def per_file(lines):
+        return F.transform(F.transform("_verdicts", lambda v: located(v, lines)), lambda p: with_content(p, lines))
+
+    return by_file.select("path", F.inline(text.bind(text.split_lines("content"), per_file)))
 
 
 def review_findings(verdicts: DataFrame, files: DataFrame) -> DataFrame:

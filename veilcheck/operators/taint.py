@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import flow
-from ..functions.text import col, rstrip
+from ..functions.text import bind, col, rstrip
 from ..schemas import STEP, TRACE, TRACES
 
 
@@ -84,9 +84,9 @@ def traces_of(lines: Column | str, path: Column | str, secrets: Column | str) ->
     def per_file(events):
         mentioned = F.flatten(F.transform(events, lambda e: e["words"]))
         used = F.array_intersect(F.transform(secrets_, lambda s: s["variable"]), mentioned)
-        return _bind(used, lambda names: _bind(
+        return bind(used, lambda names: bind(
             F.filter(secrets_, lambda s: F.array_contains(names, s["variable"])),
-            lambda live: _bind(followed(events, live), lambda known: listed(live, known)),
+            lambda live: bind(followed(events, live), lambda known: listed(live, known)),
         ))
 
     def followed(events, live):
@@ -99,12 +99,7 @@ def traces_of(lines: Column | str, path: Column | str, secrets: Column | str) ->
             F.filter(known, lambda k: k["secret"] == s), lambda k: k["traces"]
         ))))
 
-    return F.when(F.size(secrets_) > 0, _bind(_flow_events(lines_), per_file)).otherwise(F.array().cast(TRACES))
-
-
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once: a transform over a one-element array."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.when(F.size(secrets_) > 0, bind(_flow_events(lines_), per_file)).otherwise(F.array().cast(TRACES))
 
 
 def attached(traces: Column, line_number: Column) -> Column:

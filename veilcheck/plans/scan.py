@@ -1,10 +1,10 @@
 """The scan: files -> findings, in one map-only pass.
 
-A file is one row, and everything that needs a file's context (neighbouring
-lines, the flow of its variables) is an array expression inside that row; long
-texts become several rows, see ``_blocks``.  The
-plan therefore has no shuffle: the text is read once and only findings leave
-the task.  The same function scans batch and streaming DataFrames.
+A file is one row, whatever its size and kind, and everything that needs a
+file's context (neighbouring lines, the flow of its variables) is an array
+expression inside that row.  The plan therefore has no shuffle: the text is
+read once and only findings leave the task.  The same function scans batch and
+streaming DataFrames.
 """
 
 from __future__ import annotations
@@ -25,58 +25,11 @@ from ..schemas import FINDING, TRACES
 from ..session import per_gateway
 
 
-# A text longer than this many characters is scanned in blocks of about this size.
-BLOCK_CHARS = 4_000_000
-
-
-def _blocks(rows: DataFrame, kept: list[str], block_chars: int) -> DataFrame:
-    """``_lines`` to scan, ``_skip`` lines of context before and ``_own`` lines after those.
-
-    A file is one row and mostly one block.  A long text would need an array of
-    all its lines at once, so it is cut at line ends into blocks, each with the
-    context of its neighbours; ``_first`` lines of the file come before a block.
-    Code stays whole, because variables are followed through the whole file.
-    """
-    content, near = F.col("content"), fv.CONTEXT_RADIUS
-    none = F.array().cast("array<string>")
-    is_long = (F.length(content) > block_chars) & ~taint.is_flow_file(text.file_ext("path"))
-    cut = F.regexp_extract_all(content, F.lit(rf"(?s).{{0,{block_chars}}}[^\n]*+(?:\n|\z)"), F.lit(0))
-    parts = F.when(is_long, F.filter(cut, lambda part: part != "")).otherwise(F.array(content))
-    cut_rows = rows.select(*kept, parts.alias("_parts")).select(
-        *kept, "_parts",
-        F.when(F.size("_parts") > 1, F.transform("_parts", lambda part: F.regexp_count(part, F.lit(text.LINE_ENDS))))
-        .otherwise(F.array(F.lit(0))).alias("_ends"),
-    )
-
-    def nearby(i, delimiters):
-        # Up to that many line ends of a part hold at least its two nearest lines.
-        part = F.get("_parts", i)
-        lines = text.split_lines(F.substring_index(part, "\n", delimiters))
-        return F.when(part.isNull(), none).otherwise(lines)
-
-    def block(part, i):
-        return F.struct(
-            part.alias("part"),
-            F.aggregate(F.slice("_ends", 1, i), F.lit(0), lambda total, n: total + n).alias("_first"),
-            # A part may be a single line, so two of them give two lines.
-            F.concat(nearby(i - 2, -(near + 1)), nearby(i - 1, -(near + 1))).alias("before"),
-            F.concat(nearby(i + 1, near), nearby(i + 2, near)).alias("after"),
-        )
-
-    blocks = cut_rows.select(*kept, F.inline(F.transform("_parts", block)))
-    return blocks.select(*kept, "_first", "before", "after", text.split_lines("part").alias("own")).select(
-        *kept, "_first", F.size("before").alias("_skip"), F.size("own").alias("_own"),
-        F.concat("before", "own", "after").alias("_lines"),
-    )
-
-
 def _candidates(lines: Column, rule_set: RuleSet) -> Column:
-    """Lines that pass a gate, with their index, keys and surroundings."""
-    skip, own = F.col("_skip"), F.col("_own")
+    """Lines that pass a gate, with their index and keys."""
 
     def gated(line, i):
-        scanned = (i >= skip) & (i < skip + own) & text.matchable(line)
-        keys = F.when(scanned, matching.gate_keys(line, rule_set)).otherwise(F.array().cast("array<string>"))
+        keys = F.when(text.matchable(line), matching.gate_keys(line, rule_set)).otherwise(F.array().cast("array<string>"))
         return F.struct(i.alias("i"), line.alias("line"), keys.alias("keys"))
 
     return F.filter(F.transform(lines, gated), lambda c: F.size(c["keys"]) > 0)
@@ -95,7 +48,7 @@ def _matches(lines: Column, rule_set: RuleSet, opts: ScanOptions) -> Column:
     # The surroundings are looked at once per line, and only on lines with a match.
     def placed(c):
         return F.struct(
-            (F.col("_first") + c["i"] - F.col("_skip") + 1).alias("line_number"),
+            (c["i"] + 1).alias("line_number"),
             c["line"].alias("line"),
             c["kept"].alias("kept"),
             text.has_context(text.context_window(lines, c["i"])).alias("context_match"),
@@ -145,7 +98,7 @@ def _scored(matches: Column, ext: Column) -> Column:
 
 @per_gateway
 def _hits(rule_set: RuleSet, opts: ScanOptions) -> Column:
-    """Scored matches in the lines of a block, as an expression over its columns."""
+    """Scored matches in the lines of a file, as an expression over its columns."""
     return _scored(_matches(F.col("_lines"), rule_set, opts), text.file_ext("path"))
 
 
@@ -155,7 +108,7 @@ def _traces() -> Column:
 
 
 def detect(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOptions = DEFAULT_OPTIONS,
-           with_traces: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
+           with_traces: bool = True) -> DataFrame:
     """Scored matches of ``files(path, content, ...)`` with their traces, before rescoring.
 
     Columns of ``files`` other than ``content`` are kept.  ``with_traces=False``
@@ -164,7 +117,7 @@ def detect(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOptions
     rule_set = rule_set or rules()
     kept = [c for c in files.columns if c != "content"]
     hits = (
-        _blocks(files.select(*kept, "content"), kept, block_chars)
+        files.select(*kept, text.split_lines("content").alias("_lines"))
         .select(*kept, "_lines", _hits(rule_set, opts).alias("_hits"))
     )
     no_traces = F.array().cast(TRACES)
@@ -217,14 +170,16 @@ def scan_content(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOp
 def run_scan(files: DataFrame, blobs: DataFrame | None = None, reviews: DataFrame | None = None, *,
              rule_set: RuleSet | None = None, opts: ScanOptions = DEFAULT_OPTIONS, min_severity: str = "LOW",
              include: list[str] | None = None, exclude: list[str] | None = None,
-             max_commits: int = fv.HISTORY_COMMITS, skip_mode: str = "dirs",
+             max_commits: int = fv.HISTORY_COMMITS, skip_mode: str = "dirs", repo: list[str] | None = None,
              where: Column | None = None, observation: Observation | None = None) -> DataFrame:
     """Findings of files, optionally of their history and of code reviews.
 
     ``files(path, content)`` is filtered by skip lists, globs and ``where``;
     ``blobs`` adds the history, ``reviews`` finished review findings.  Globs
     apply to the files and again to the findings, so history findings are
-    filtered by their ``history/`` path only.  ``observation`` receives the number
+    filtered by their ``history/`` path only.  ``repo`` names the columns of
+    ``blobs`` that tell repositories apart: each has its own newest commits and
+    first blobs, and its findings carry the columns.  ``observation`` receives the number
     of ``files`` that were scanned, once the findings are computed.
     """
     current = paths.glob_filter(paths.skip_paths(files, skip_mode, opts), include, exclude)
@@ -234,7 +189,7 @@ def run_scan(files: DataFrame, blobs: DataFrame | None = None, reviews: DataFram
         current = current.observe(observation, F.count("*").alias("files"))
     parts = [scan_content(current, rule_set, opts)]
     if blobs is not None:
-        parts.append(scan_content(history_files(blobs, max_commits, opts), rule_set, opts))
+        parts.append(scan_content(history_files(blobs, max_commits, opts, repo), rule_set, opts))
     if reviews is not None:
         parts.append(reviews)
     found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

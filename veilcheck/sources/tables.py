@@ -5,18 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows out to all cores where the input has fewer splits than cores.
-
-    A scan is bound by CPU, and a small table often comes as one row group, which
-    one task would have to scan alone.  A table with enough splits is returned
-    as it is, so large inputs are never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def read_texts(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """A Parquet table of texts, ready to scan."""
+    """A Parquet table of texts; ``spark.sql.files.maxPartitionBytes`` sizes the tasks that scan it."""
     df = spark.read.parquet(path)
-    return spread(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df
