@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from veilcheck import fixed_values as fv
 from veilcheck.functions import flow, labels, scoring, text
-from veilcheck.operators import advice, context, findings, history, matching, paths, review
+from veilcheck.operators import advice, context, findings, history, matching, paths, review, taint
 from veilcheck.operators.rules import RuleSet, add_custom_rules, only_ru_findings, rules
 from veilcheck.options import ScanOptions
 from veilcheck.plans import scan
@@ -140,7 +140,7 @@ FINDING = (
 
 def _flat(df: DataFrame, *extra: str) -> DataFrame:
     """Findings with the number of traces in place of the traces."""
-    return df.withColumn("trace_count", F.size("taint_traces")).select(*extra, *FINDING.split(", "))
+    return df.withColumn("trace_count", F.col("taint_count")).select(*extra, *FINDING.split(", "))
 
 
 def _trace_text(depth: Callable[[Column], Column]) -> Column:
@@ -349,7 +349,10 @@ def _(spark, sf):
 @query("jn_2_attach_traces", f"""
 SELECT f.file, f.line_number, f.rule_ord, f.match_ord, {TRACE_TEXT_SQL} AS traces FROM findings f""")
 def _(spark, sf):
-    return _findings(spark, sf).select("file", "line_number", "rule_ord", "match_ord", _trace_text(lambda t: F.size(t["steps"])).alias("traces"))
+    flows = scan.file_flows(_files(spark, sf).select("path", "content"))
+    return taint.attach_traces(_findings(spark, sf), flows).select(
+        "file", "line_number", "rule_ord", "match_ord", _trace_text(lambda t: F.size(t["steps"])).alias("traces")
+    )
 
 
 @query("jn_3_recommendations", """
@@ -653,13 +656,14 @@ SELECT c.path, l.var AS source_variable, l.src AS source_line, l.sink AS sink_ty
   CAST(l.depth AS INTEGER) AS depth, l.rule_ord, l.match_ord
 FROM listed l JOIN files c USING (file_id)""")
 def _(spark, sf):
-    # A finding on an assignment line carries the traces of its own variable.
-    own = F.filter("taint_traces", lambda t: t["source_line"] == F.col("line_number"))
-    found = _findings(spark, sf)
-    per_line = found.select("file", "line_number", "rule_ord", "match_ord", own.alias("own"))
-    return per_line.select("file", "rule_ord", "match_ord", F.explode(F.array_distinct("own")).alias("t")).select(
-        F.col("file").alias("path"), "t.source_variable", "t.source_line", "t.sink_type", "t.sink_line",
-        "t.sink_content", F.size("t.steps").alias("depth"), "rule_ord", "match_ord",
+    files = _files(spark, sf).select("path", "content").filter(text.file_ext("path").isin(fv.FLOW_EXTENSIONS))
+    hits = scan.detect(files, with_traces=False).filter("variable is not null")
+    # Every secret by itself, so that its rule can be told.
+    listed = hits.select("path", "rule_ord", "match_ord", F.array(F.struct("variable", "line_number")).alias("secrets"))
+    lines = files.select("path", text.split_lines("content").alias("lines")).join(listed, "path")
+    return taint.taint_traces(lines).select(
+        F.col("source_file").alias("path"), "source_variable", "source_line", "sink_type", "sink_line", "sink_content",
+        F.size("steps").alias("depth"), "rule_ord", "match_ord",
     )
 
 

@@ -12,7 +12,7 @@ from veilcheck.sinks import reports
 SCHEMA = (
     "file string, line_number int, line_content string, secret_type string, matched_value string, score int, "
     "severity string, category string, source string, entropy double, context_match boolean, "
-    f"structural_valid boolean, confidence double, taint_traces {TRACES}, rule_ord int, match_ord int"
+    f"structural_valid boolean, confidence double, taint_count int, taint_traces {TRACES}, rule_ord int, match_ord int"
 )
 TRACE = ("k", "a.py", 1, "Logging", "a.py", 3, "  logging.info(h)", [("a.py", 2, "h = k", "h", "propagated from k")])
 
@@ -20,7 +20,7 @@ TRACE = ("k", "a.py", 1, "Logging", "a.py", 3, "  logging.info(h)", [("a.py", 2,
 def finding(file="a.py", line=1, kind="Generic Token", value="v", score=9, severity="HIGH", category="api_token",
             source="current", traces=(), rule_ord=17, match_ord=1):
     return (file, line, f"  k = '{value}'", kind, value, score, severity, category, source, 3.5, True, False, 0.71,
-            list(traces), rule_ord, match_ord)
+            len(traces), list(traces), rule_ord, match_ord)
 
 
 @pytest.fixture(scope="module")

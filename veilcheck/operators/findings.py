@@ -74,7 +74,7 @@ def severity_summary(findings: DataFrame, by: list[str] | None = None) -> DataFr
 def exposure_counts(findings: DataFrame) -> DataFrame:
     """Findings that reach a risky call, and findings from code reviews."""
     return findings.agg(
-        F.count_if(F.size("taint_traces") > 0).alias("tainted"),
+        F.count_if(F.col("taint_count") > 0).alias("tainted"),
         F.count_if(labels.is_review_finding()).alias("review_findings"),
     )
 

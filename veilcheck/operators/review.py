@@ -147,6 +147,7 @@ def review_findings(verdicts: DataFrame, files: DataFrame) -> DataFrame:
         F.lit(False).alias("context_match"),
         F.lit(False).alias("structural_valid"),
         labels.review_confidence("severity").alias("confidence"),
+        F.lit(0).alias("taint_count"),
         F.array().cast(TRACES).alias("taint_traces"),
         F.lit(REVIEW_ORD).alias("rule_ord"),
         F.col("verdict_ord").cast("int").alias("match_ord"),

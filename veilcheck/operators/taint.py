@@ -2,6 +2,12 @@
 
 A fold over the file's assignments and risky calls, in line order, as an
 ``aggregate`` over an array: the whole computation stays in the file's row.
+
+A variable is followed once, however many of its assignments hold a secret: its
+*flow* lists the steps and the risky calls, each call with the number of steps
+before it.  A secret's traces are the calls of its variable's flow, each with
+its steps, apart from those on the secret's own line.  They are counted from
+the flow, and written out only where somebody selects them.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import flow
 from ..functions.text import bind, col, rstrip
-from ..schemas import STEP, TRACE, TRACES
+from ..schemas import FLOWS, SINK, STEP, TRACE, TRACES
 
 
 def _flow_events(lines: Column) -> Column:
@@ -34,12 +40,12 @@ def _flow_events(lines: Column) -> Column:
     return F.flatten(F.transform(lines, events))
 
 
-def _follow(events: Column, path: Column, variable: Column, source_line: Column) -> Column:
-    """Traces of one secret variable."""
+def _follow(events: Column, path: Column, variable: Column, without: Column) -> Column:
+    """Steps and risky calls of one variable, leaving out one line."""
     start = F.struct(
         F.array(variable).alias("tainted"),
         F.array().cast(f"array<{STEP}>").alias("steps"),
-        F.array().cast(TRACES).alias("traces"),
+        F.array().cast(f"array<{SINK}>").alias("sinks"),
     )
 
     def visit(state, e):
@@ -50,92 +56,155 @@ def _follow(events: Column, path: Column, variable: Column, source_line: Column)
             e["target"].alias("variable"),
             F.concat(F.lit("propagated from "), F.get(hits, F.lit(0))).alias("action"),
         ).cast(STEP)
-        trace = F.struct(
-            variable.alias("source_variable"), path.alias("source_file"), source_line.alias("source_line"),
-            e["sink"].alias("sink_type"), path.alias("sink_file"), e["line_number"].alias("sink_line"),
-            rstrip(e["line"]).alias("sink_content"), state["steps"].alias("steps"),
-        ).cast(TRACE)
+        sink = F.struct(
+            e["sink"].alias("sink_type"), e["line_number"].alias("sink_line"), rstrip(e["line"]).alias("sink_content"),
+            F.size(state["steps"]).alias("depth"),
+        ).cast(SINK)
         moved = F.struct(
             F.array_union(state["tainted"], F.array(e["target"])).alias("tainted"),
             F.concat(state["steps"], F.array(step)).alias("steps"),
-            state["traces"].alias("traces"),
+            state["sinks"].alias("sinks"),
         )
         reached = F.struct(
             state["tainted"].alias("tainted"),
             state["steps"].alias("steps"),
-            F.concat(state["traces"], F.array(trace)).alias("traces"),
+            F.concat(state["sinks"], F.array(sink)).alias("sinks"),
         )
-        touched = (e["line_number"] != source_line) & F.arrays_overlap(state["tainted"], e["words"])
+        touched = (e["line_number"] != without) & F.arrays_overlap(state["tainted"], e["words"])
         return F.when(~touched, state).when(e["target"].isNotNull(), moved).otherwise(reached)
 
-    return F.aggregate(events, start, visit, lambda state: state["traces"])
+    return F.aggregate(events, start, visit)
 
 
-def traces_of(lines: Column | str, path: Column | str, secrets: Column | str) -> Column:
-    """Traces of every secret ``struct<variable, line_number>``, in the order given.
+def flows_of(lines: Column | str, path: Column | str, secrets: Column | str) -> Column:
+    """The flows of the secrets ``struct<variable, line_number>`` of a file.
 
-    A variable listed twice yields its traces twice, but is followed only once.
-    Variables that no right-hand side and no risky call mentions are left out
-    first, by one hashed intersection: a file full of unused secrets costs its
-    length, not its length times its secrets.
+    ``sources`` lists a flow's secrets in the order given, one that is given
+    twice twice.  Variables that no right-hand side and no risky call mentions
+    are left out first, by one hashed intersection: a file full of unused
+    secrets costs its length, not its length times its secrets.
     """
     secrets_, path_, lines_ = col(secrets), col(path), col(lines)
 
+    def placed(s, i):
+        # A secret's own line takes no part.  That can change the flow only if it
+        # assigns another variable; all other secrets of a variable share its flow.
+        target = flow.assignment_target(F.get(lines_, s["line_number"] - 1))
+        without = F.when(target != s["variable"], s["line_number"]).otherwise(F.lit(0))
+        return F.struct(
+            s["variable"].alias("variable"), F.coalesce(without, F.lit(0)).alias("without"),
+            F.concat_ws(" ", without, s["variable"]).alias("key"),
+            F.struct(i.alias("ord"), s["line_number"].alias("line")).alias("source"),
+        )
+
     def per_file(events):
         mentioned = F.flatten(F.transform(events, lambda e: e["words"]))
         used = F.array_intersect(F.transform(secrets_, lambda s: s["variable"]), mentioned)
         return bind(used, lambda names: bind(
-            F.filter(secrets_, lambda s: F.array_contains(names, s["variable"])),
-            lambda live: bind(followed(events, live), lambda known: listed(live, known)),
+            F.filter(F.transform(secrets_, placed), lambda s: F.array_contains(names, s["variable"])),
+            lambda live: followed(events, live),
         ))
 
     def followed(events, live):
-        return F.transform(F.array_distinct(live), lambda s: F.struct(
-            s.alias("secret"), _follow(events, path_, s["variable"], s["line_number"]).alias("traces"),
-        ))
+        def one(key):
+            return bind(F.filter(live, lambda s: s["key"] == key), lambda own: bind(
+                _follow(events, path_, F.get(own, F.lit(0))["variable"], F.get(own, F.lit(0))["without"]),
+                lambda state: whole(own, state),
+            ))
+
+        return F.transform(F.array_distinct(F.transform(live, lambda s: s["key"])), one)
+
+    def whole(own, state):
+        def source(s):
+            there = F.filter(state["sinks"], lambda k: k["sink_line"] == s["source"]["line"])
+            return F.struct(
+                s["source"]["ord"].alias("ord"), s["source"]["line"].alias("line"),
+                F.coalesce(F.get(there, F.lit(0))["depth"], F.lit(-1)).alias("own"),
+            )
+
+        return F.struct(
+            F.get(own, F.lit(0))["variable"].alias("variable"), F.transform(own, source).alias("sources"),
+            state["steps"].alias("steps"), state["sinks"].alias("sinks"),
+        )
 
-    def listed(live, known):
-        return F.flatten(F.transform(live, lambda s: F.flatten(F.transform(
-            F.filter(known, lambda k: k["secret"] == s), lambda k: k["traces"]
-        ))))
+    found = F.when(F.size(secrets_) > 0, bind(_flow_events(lines_), per_file)).otherwise(F.array())
+    return found.cast(FLOWS)
 
-    return F.when(F.size(secrets_) > 0, bind(_flow_events(lines_), per_file)).otherwise(F.array().cast(TRACES))
 
+def trace_count(flows: Column, line_number: Column) -> Column:
+    """How many traces start at a line or pass through it."""
+
+    def of(f):
+        sources, sinks = f["sources"], f["sinks"]
+        here = F.filter(sources, lambda s: s["line"] == line_number)
+        step = F.array_position(F.transform(f["steps"], lambda s: s["line_number"]), line_number)
+        elsewhere = F.filter(sources, lambda s: s["line"] != line_number)
+        # Each source has all later calls but the one on its own line.
+        through = (
+            F.size(elsewhere) * F.size(F.filter(sinks, lambda k: k["depth"] >= step))
+            - F.size(F.filter(elsewhere, lambda s: s["own"] >= step))
+        )
+        own = F.size(F.filter(here, lambda s: s["own"] >= 0))
+        return F.size(here) * F.size(sinks) - own + F.when(step > 0, through).otherwise(F.lit(0))
+
+    return F.aggregate(F.transform(flows, of), F.lit(0), lambda total, n: total + n)
 
-def attached(traces: Column, line_number: Column) -> Column:
-    """The traces that start at a line or pass through it."""
-    return F.filter(
-        traces,
-        lambda t: (t["source_line"] == line_number)
-        | F.exists(t["steps"], lambda s: s["line_number"] == line_number),
-    )
+
+def traces_at(flows: Column, path: Column, line_number: Column | None = None) -> Column:
+    """The traces that start at a line or pass through it (all without a line), in the order of their secrets."""
+
+    def of(f):
+        step = F.lit(0).cast("long") if line_number is None else F.array_position(
+            F.transform(f["steps"], lambda s: s["line_number"]), line_number
+        )
+
+        def of_source(s):
+            touched = F.lit(True) if line_number is None else s["line"] == line_number
+            calls = F.filter(f["sinks"], lambda k: (k["sink_line"] != s["line"]) & (
+                touched | ((step > 0) & (k["depth"] >= step))
+            ))
+            return F.transform(calls, lambda k: trace(s, k))
+
+        def trace(s, k):
+            steps = F.filter(F.slice(f["steps"], F.lit(1), k["depth"]), lambda x: x["line_number"] != s["line"])
+            whole = F.struct(
+                f["variable"].alias("source_variable"), path.alias("source_file"), s["line"].alias("source_line"),
+                k["sink_type"].alias("sink_type"), path.alias("sink_file"), k["sink_line"].alias("sink_line"),
+                k["sink_content"].alias("sink_content"), steps.alias("steps"),
+            ).cast(TRACE)
+            return F.struct(s["ord"].alias("ord"), k["sink_line"].alias("sink_line"), whole.alias("trace"))
+
+        return F.flatten(F.transform(f["sources"], of_source))
+
+    listed = F.sort_array(F.flatten(F.transform(flows, of)))
+    return F.transform(listed, lambda t: t["trace"]).cast(TRACES)
+
+
+def taint_flows(files: DataFrame) -> DataFrame:
+    """``flows`` of ``files(path, lines, secrets)``, one row per file; other columns are kept."""
+    others = [c for c in files.columns if c not in ("path", "lines", "secrets")]
+    return files.select(*others, "path", flows_of("lines", "path", "secrets").alias("flows"))
 
 
 def taint_traces(files: DataFrame) -> DataFrame:
     """One row per trace of ``files(path, lines, secrets)``; other columns are kept."""
-    others = [c for c in files.columns if c not in ("path", "lines", "secrets")]
-    return files.select(*others, F.inline(traces_of("lines", "path", "secrets")))
+    flows = taint_flows(files)
+    others = [c for c in flows.columns if c not in ("path", "flows")]
+    return flows.select(*others, F.inline(traces_at(F.col("flows"), F.col("path"))))
 
 
-def attach_traces(findings: DataFrame, traces: DataFrame) -> DataFrame:
-    """Relational form of the attachment, for findings and traces kept as tables.
+def attach_traces(findings: DataFrame, flows: DataFrame) -> DataFrame:
+    """Adds ``taint_traces`` and ``taint_count`` to findings, from ``flows(path, flows)`` kept as a table.
 
-    Each trace is listed once per finding it touches.  A file's traces are first
-    spread over the lines they touch, so the join key is (file, line).
+    Flows travel in their compact form, one row per file that has any.
     """
-    touched = traces.select(
-        F.struct(*traces.columns).cast(TRACE).alias("trace"),
-        F.explode(F.array_distinct(F.concat(
-            F.array("source_line"), F.transform("steps", lambda s: s["line_number"]),
-        ))).alias("line_number"),
-    )
-    per_line = touched.groupBy(F.col("trace.source_file").alias("file"), "line_number").agg(
-        F.sort_array(F.collect_list("trace")).alias("taint_traces")
-    )
-    return (
-        findings.drop("taint_traces")
-        .join(per_line, ["file", "line_number"], "left")
-        .withColumn("taint_traces", F.coalesce("taint_traces", F.array().cast(TRACES)))
+    kept = [c for c in findings.columns if c not in ("taint_traces", "taint_count")]
+    of_file = flows.filter(F.size("flows") > 0).select(F.col("path").alias("file"), F.col("flows").alias("_flows"))
+    joined = findings.select(*kept).join(of_file, "file", "left")
+    known = F.coalesce("_flows", F.array().cast(FLOWS))
+    return joined.select(
+        *kept, trace_count(known, F.col("line_number")).alias("taint_count"),
+        traces_at(known, F.col("file"), F.col("line_number")).alias("taint_traces"),
     )
 
 

@@ -21,7 +21,7 @@ from ..operators import matching, paths, taint
 from ..operators.history import history_files
 from ..operators.rules import RuleSet, rules
 from ..options import DEFAULT_OPTIONS, ScanOptions
-from ..schemas import FINDING, TRACES
+from ..schemas import FINDING, FLOWS
 from ..session import per_gateway
 
 
@@ -103,16 +103,17 @@ def _hits(rule_set: RuleSet, opts: ScanOptions) -> Column:
 
 
 @per_gateway
-def _traces() -> Column:
-    return taint.traces_of("_lines", "path", "_secrets")
+def _flows() -> Column:
+    return taint.flows_of("_lines", "path", "_secrets")
 
 
 def detect(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOptions = DEFAULT_OPTIONS,
            with_traces: bool = True) -> DataFrame:
     """Scored matches of ``files(path, content, ...)`` with their traces, before rescoring.
 
-    Columns of ``files`` other than ``content`` are kept.  ``with_traces=False``
-    skips the flow analysis and leaves ``taint_traces`` empty.
+    Columns of ``files`` other than ``content`` are kept.  ``taint_count`` is
+    the number of traces; ``taint_traces`` writes them out, which costs nothing
+    unless it is selected.  ``with_traces=False`` skips the flow analysis.
     """
     rule_set = rule_set or rules()
     kept = [c for c in files.columns if c != "content"]
@@ -120,7 +121,6 @@ def detect(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOptions
         files.select(*kept, text.split_lines("content").alias("_lines"))
         .select(*kept, "_lines", _hits(rule_set, opts).alias("_hits"))
     )
-    no_traces = F.array().cast(TRACES)
     secrets = F.transform(
         F.filter("_hits", lambda h: h["variable"].isNotNull()),
         lambda h: F.struct(h["variable"].alias("variable"), h["line_number"].alias("line_number")),
@@ -128,24 +128,37 @@ def detect(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOptions
     if with_traces:
         secrets = F.when(taint.is_flow_file(text.file_ext("path")), secrets).otherwise(F.slice(secrets, 1, 0))
         traced = hits.select(*kept, "_lines", "_hits", secrets.alias("_secrets")).select(
-            *kept, "_hits", _traces().alias("_traces")
+            *kept, "_hits", _flows().alias("_flows")
         )
     else:
-        traced = hits.select(*kept, "_hits", no_traces.alias("_traces"))
+        traced = hits.select(*kept, "_hits", F.array().cast(FLOWS).alias("_flows"))
 
-    def with_own_traces(h):
-        return F.struct(
-            h.alias("hit"), taint.attached(F.col("_traces"), h["line_number"]).alias("taint_traces")
-        )
+    def counted(h):
+        return F.struct(h.alias("hit"), taint.trace_count(F.col("_flows"), h["line_number"]).alias("taint_count"))
+
+    return traced.select(*kept, "_flows", F.inline(F.transform("_hits", counted))).select(
+        *kept, "hit.*", "taint_count",
+        taint.traces_at(F.col("_flows"), F.col("path"), F.col("hit.line_number")).alias("taint_traces"),
+    )
 
-    return traced.select(*kept, F.inline(F.transform("_hits", with_own_traces))).select(
-        *kept, "hit.*", "taint_traces"
+
+def file_flows(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOptions = DEFAULT_OPTIONS) -> DataFrame:
+    """``(..., path, flows)``: the flows of the secrets of each file that has any, for ``taint.attach_traces``."""
+    kept = [c for c in files.columns if c not in ("path", "content")]
+    lines = files.filter(taint.is_flow_file(text.file_ext("path"))).select(
+        *kept, "path", text.split_lines("content").alias("_lines")
+    ).select(*kept, "path", "_lines", _hits(rule_set or rules(), opts).alias("_hits"))
+    secrets = F.transform(
+        F.filter("_hits", lambda h: h["variable"].isNotNull()),
+        lambda h: F.struct(h["variable"].alias("variable"), h["line_number"].alias("line_number")),
     )
+    found = taint.taint_flows(lines.select(*kept, "path", F.col("_lines").alias("lines"), secrets.alias("secrets")))
+    return found.filter(F.size("flows") > 0)
 
 
 def rescore(hits: DataFrame, opts: ScanOptions = DEFAULT_OPTIONS) -> DataFrame:
     """Raise the score of findings whose variable reaches a risky call; then rate them all."""
-    tainted = F.size("taint_traces") > 0
+    tainted = F.col("taint_count") > 0
     final = F.col("score") + F.when(tainted, fv.TAINT_BONUS).otherwise(0)
     rated = hits.withColumns({"score": final, "entropy": scoring.round2(F.col("entropy"))})
     return rated.withColumns({

@@ -6,9 +6,13 @@ TRACE = (
     f"sink_line:int,sink_content:string,steps:array<{STEP}>>"
 )
 TRACES = f"array<{TRACE}>"
+# A variable's way through its file; ``depth`` counts the steps before a call, ``own`` is that of the call on a source's line, or -1.
+SINK = "struct<sink_type:string,sink_line:int,sink_content:string,depth:int>"
+FLOW = f"struct<variable:string,sources:array<struct<ord:int,line:int,own:int>>,steps:array<{STEP}>,sinks:array<{SINK}>>"
+FLOWS = f"array<{FLOW}>"
 
 # Columns of a finding.  rule_ord and match_ord keep the order of detection.
 FINDING = [
     "file", "line_number", "line_content", "secret_type", "matched_value", "score", "severity", "category",
-    "source", "entropy", "context_match", "structural_valid", "confidence", "taint_traces", "rule_ord", "match_ord",
+    "source", "entropy", "context_match", "structural_valid", "confidence", "taint_count", "taint_traces", "rule_ord", "match_ord",
 ]

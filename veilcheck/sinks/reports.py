@@ -146,12 +146,12 @@ def _trace_lines(t: Column) -> Column:
 def text_rows(findings: DataFrame) -> DataFrame:
     """``value``: the labelled lines of each finding, without colours; other columns are kept."""
     c = F.col
-    traced = F.size("taint_traces") > 0
+    traced = F.col("taint_count") > 0
     flags = F.concat_ws(
         ", ",
         F.when(c("context_match"), "context✓"),
         F.when(c("structural_valid"), "structure✓"),
-        F.when(traced, F.concat(F.lit("taint:"), F.size("taint_traces").cast("string"), F.lit("✓"))),
+        F.when(traced, F.concat(F.lit("taint:"), F.col("taint_count").cast("string"), F.lit("✓"))),
     )
     lines = F.concat_ws(
         "\n",
