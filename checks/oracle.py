@@ -285,8 +285,13 @@ SELECT * FROM findings QUALIFY row_number() OVER (
 SELECT *, row_number() OVER (
   ORDER BY score DESC, file, line_number, rule_ord, match_ord, source, secret_type, matched_value) AS idx
 FROM distinct_findings""",
+    "full_ranked": """
+SELECT *, row_number() OVER (
+  ORDER BY score DESC, file, line_number, rule_ord, match_ord, source, secret_type, matched_value) AS idx
+FROM (SELECT * FROM full_findings QUALIFY row_number() OVER (
+  PARTITION BY file, line_number, secret_type, matched_value, source ORDER BY rule_ord, match_ord) = 1)""",
     "advice": "SELECT * FROM (VALUES " + ", ".join(
-        "({}, {}, {}, {})".format(*map(text_literal, (kind, title, "\n".join(description), priority)))
+        "({}, {}, {}, {})".format(*map(text_literal, (kind, title, description, priority)))
         for kind, priority, title, description, _ in advice.ADVICE
     ) + ") AS t(secret_type, title, description, priority)",
     "advised": """

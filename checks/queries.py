@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from veilcheck import fixed_values as fv
 from veilcheck.functions import flow, labels, scoring, text
 from veilcheck.operators import advice, context, findings, history, matching, paths, review, taint
+from veilcheck.operators.catalogue import FULL_ORDER
 from veilcheck.operators.rules import RuleSet, add_custom_rules, only_ru_findings, rules
 from veilcheck.options import ScanOptions
 from veilcheck.plans import scan
@@ -120,10 +121,10 @@ def _stream_table(spark, sf) -> DataFrame:
 
 
 def _as_stream(spark, table: DataFrame, name: str) -> DataFrame:
-    """The rows of a table, written out and read back as a stream."""
+    """The rows of a table, written out and read back as a stream of limited triggers."""
     folder = work_dir(spark, name)
     table.write.parquet(folder)
-    return spark.readStream.schema(table.schema).parquet(folder)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 64).parquet(folder)
 
 
 def _drained(spark, stream: DataFrame, name: str) -> DataFrame:
@@ -220,6 +221,16 @@ def _(spark, sf):
     return catalogue.join(used, "rule_ord", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
 
 
+@query("src_4_rules_full", "SELECT r.*, coalesce(n, 0) AS matches FROM (VALUES " + ", ".join(
+    f"({i}, {o.text_literal(name)})" for i, name in enumerate(FULL_ORDER)
+) + """) AS r(rule_ord, secret_type)
+LEFT JOIN (SELECT secret_type, count(*) AS n FROM full_matches GROUP BY ALL) USING (secret_type)""")
+def _(spark, sf):
+    used = _matches(spark, sf, rules("full")).groupBy("secret_type").agg(F.count("*").alias("matches"))
+    catalogue = rules("full").to_df(spark).select("rule_ord", "secret_type")
+    return catalogue.join(used, "secret_type", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+
+
 _HOST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
 _PATH = r"regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), ';[^/]*$', '')"
 
@@ -499,6 +510,12 @@ def _(spark, sf):
     return _flat(findings.rank_findings(findings.deduplicate(_findings(spark, sf))), "idx")
 
 
+@query("win_4_ranked_full", "SELECT idx, file, line_number, rule_ord, secret_type, match_ord, score FROM full_ranked")
+def _(spark, sf):
+    ranked = findings.rank_findings(findings.deduplicate(_findings(spark, sf, rules("full")).drop("taint_traces")))
+    return ranked.select("idx", "file", "line_number", "rule_ord", "secret_type", "match_ord", "score")
+
+
 @query("win_5_newest_commits", """
 SELECT commit_ord, path, blob_hash FROM blobs
 WHERE commit_ord IN (SELECT DISTINCT commit_ord FROM blobs ORDER BY commit_ord LIMIT 2)""")
@@ -802,6 +819,13 @@ def _(spark, sf):
 # Streams --------------------------------------------------------------------
 
 
+@query("st_1_stateless_alarms", f"""
+SELECT session_id, CAST(seq AS INTEGER) AS seq, '{fv.ALARM_SEVERITY}' AS severity, pattern, line
+FROM signals WHERE kind = 'alarm'""")
+def _(spark, sf):
+    return line_stream.prefix_alarms(_stream_table(spark, sf))
+
+
 @query("st_1_prefix_alarms", "SELECT session_id, seq, severity, pattern, line FROM alarms")
 def _(spark, sf):
     events = line_stream.session_events(_as_stream(spark, _stream_table(spark, sf), "alarm-lines"))

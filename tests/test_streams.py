@@ -52,6 +52,19 @@ def test_one_session_with_most_lines(spark):
     assert line_stream.session_verdicts(lines).collect()[0].verdict == "AUTHORIZE_EXPORT"
 
 
+def test_one_session_with_many_intervals(spark):
+    """A hundred thousand intervals of one session, every third one with an alarm."""
+    n = F.col("id")
+    lines = spark.range(100_000).select(F.explode(F.array(
+        F.struct((n * 3).alias("seq"), F.lit("CMD:SCAN_START").alias("line")),
+        F.struct((n * 3 + 1).alias("seq"), F.when(n % 3 == 0, "eyJ").otherwise("x").alias("line")),
+        F.struct((n * 3 + 2).alias("seq"), F.lit("CMD:SCAN_END").alias("line")),
+    )).alias("r")).select(F.lit(5).cast("long").alias("session_id"), F.col("r.seq").cast("int").alias("seq"), "r.line")
+    assert line_stream.session_alarms(lines).count() == 33_334
+    counts = {r.verdict: r["count"] for r in line_stream.session_verdicts(lines).groupBy("verdict").count().collect()}
+    assert counts == {"AUTHORIZE_EXPORT": 33_334, "SCAN_CLEAN": 66_666}
+
+
 def test_file_stream_equals_batch(spark, files, tmp_path):
     texts = files(corpus.texts())
     texts.write.parquet(str(tmp_path / "in"))

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from .. import fixed_values as fv
 from ..functions import labels, text
+from ..session import checkpointed
 
 EVENT_SCHEMA = "session_id long, seq int, kind string, pattern string, line string"
 
@@ -43,58 +44,51 @@ def prefix_alarms(lines: DataFrame) -> DataFrame:
     )
 
 
-def _verdict(alarmed: Column) -> Column:
-    return F.when(alarmed, fv.VERDICT_ALARM).otherwise(fv.VERDICT_CLEAN)
+def _with_last_marker(signals: DataFrame) -> DataFrame:
+    """Signals with the kind and ``seq`` of the session's marker before them, ``last`` (null without one).  An action.
 
-
-def _sessions(signals: DataFrame) -> DataFrame:
-    """Open intervals ``(session_id, start_seq, end_seq)`` between a start and the next marker.
-
-    The window runs over markers only, a few rows per session.
+    Signals are sorted by session and sequence over range partitions, and the
+    last marker is carried forward within each; what a session brings along from
+    earlier partitions is one marker per partition.  A session with most of the
+    signals is spread over as many tasks as its size needs, and no signal is
+    paired with more than one marker.
     """
-    order = Window.partitionBy("session_id").orderBy("seq")
-    markers = signals.filter("kind <> 'alarm'").withColumn("end_seq", F.lead("seq").over(order))
-    return markers.filter("kind = 'start'").select("session_id", F.col("seq").alias("start_seq"), "end_seq")
-
-
-def _alarms_in_sessions(signals: DataFrame) -> DataFrame:
-    """Alarms with the interval that holds them; intervals of a session are disjoint.
-
-    An equi-join on the session: a session with most of the alarms is split by
-    adaptive execution, as its intervals are few.
-    """
-    s, a = _sessions(signals).alias("s"), signals.filter("kind = 'alarm'").alias("a")
-    inside = (
-        (F.col("a.session_id") == F.col("s.session_id")) & (F.col("a.seq") > F.col("s.start_seq"))
-        & (F.col("s.end_seq").isNull() | (F.col("a.seq") < F.col("s.end_seq")))
-    )
-    return a.join(s, inside).select("a.*", "s.start_seq", "s.end_seq")
+    ordered = checkpointed(signals.orderBy("session_id", "seq").withColumn("_part", F.spark_partition_id()))
+    marker = F.when(F.col("kind") != "alarm", F.struct("kind", "seq"))
+    within = Window.partitionBy("_part", "session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("session_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per session and partition; null where the partition has alarms only.
+    per_part = ordered.groupBy("_part", "session_id").agg(F.max_by(marker, F.when(marker.isNotNull(), F.col("seq"))).alias("_marker"))
+    brought = per_part.select("_part", "session_id", F.last("_marker", ignorenulls=True).over(earlier).alias("_brought"))
+    carried = ordered.withColumn("_own", F.last(marker, ignorenulls=True).over(within))
+    return carried.join(brought, ["_part", "session_id"]).select(*signals.columns, F.coalesce("_own", "_brought").alias("last"))
 
 
 def session_alarms(lines: DataFrame) -> DataFrame:
     """Alarms inside sessions, for a table of lines."""
-    return _alarms_in_sessions(_signals(lines)).select(
+    return _with_last_marker(_signals(lines)).filter("kind = 'alarm' AND last.kind = 'start'").select(
         "session_id", "seq", F.lit(fv.ALARM_SEVERITY).alias("severity"), "pattern", "line"
     )
 
 
 def session_verdicts(lines: DataFrame) -> DataFrame:
     """One verdict per end marker, for a table of lines."""
-    signals = _signals(lines)
-    ends = signals.filter("kind = 'end'").select("session_id", "seq")
+    signals = _with_last_marker(_signals(lines))
+    opened = F.when(F.col("last.kind") == "start", F.col("last.seq")).alias("opened")
+    ends = signals.filter("kind = 'end'").select("session_id", "seq", opened)
     # Alarms only need to exist: those of one interval combine on the map side.
     alarmed = (
-        _alarms_in_sessions(signals).filter("end_seq is not null")
-        .groupBy("session_id", F.col("end_seq").alias("seq")).agg(F.lit(True).alias("alarmed"))
+        signals.filter("kind = 'alarm' AND last.kind = 'start'").groupBy("session_id", opened)
+        .agg(F.lit(True).alias("alarmed"))
     )
     verdict = F.when(F.col("alarmed"), fv.VERDICT_ALARM).otherwise(fv.VERDICT_CLEAN)
-    return ends.join(alarmed, ["session_id", "seq"], "left").select("session_id", "seq", verdict.alias("verdict"))
+    return ends.join(alarmed, ["session_id", "opened"], "left").select("session_id", "seq", verdict.alias("verdict"))
 
 
 def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One trigger's signals of a session, in sequence; state is (scanning, alarmed)."""
     scanning, alarmed = state.get if state.exists else (False, False)
-    # Only signals get here, and a trigger's share of them is limited at the source.
+    # Only signals get here, and the source's options (such as maxFilesPerTrigger) limit a trigger's share of them.
     signals = pd.concat(list(batches)).sort_values("seq", kind="stable")
     out = []
     for seq, kind, pattern, line in signals[["seq", "kind", "pattern", "line"]].itertuples(index=False):
