@@ -116,7 +116,7 @@ def _marks(words: DataFrame) -> np.ndarray:
     """A bit for each bucket that holds a frequent word; at most ``_MARKS`` buckets, however many words."""
     buckets = words.filter(F.col("n") >= MIN_ARC_COUNT).select(F.col("h").bitwiseAND(F.lit(_MARKS - 1)).cast("int").alias("b")).distinct()
     marks = np.zeros(_MARKS, bool)
-    marks[buckets.toPandas().b.to_numpy()] = True
+    marks[buckets.toArrow().column("b").to_numpy()] = True
     return np.packbits(marks)
 
 
@@ -137,7 +137,15 @@ def train_model(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     return words, states.select(F.col("before").alias("h"), F.col("failure").alias("weight")), arcs, seen.n, seen.v
 
 
-def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sorted(table: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a part of the automaton, by key; an arc's key is made of both of its ends."""
+    held = table.toArrow()
+    column = lambda name: held.column(name).to_numpy()
+    keys, values = column("h").view(np.uint64), column(value)
+    if "before" in held.column_names:
+        keys = arc_keys(column("before").view(np.uint64), keys)
+    if values.dtype == np.int64 and (not len(values) or values.max() < 1 << 32):
+        values = values.astype(np.uint32)
     order = np.argsort(keys)
     return keys[order], values[order]
 
@@ -197,14 +205,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
     columns = []
     for part in range(parts):
         mine = [table.filter(F.pmod("h", F.lit(parts)) == part) if parts > 1 else table for table in (words, states, arcs)]
-        word, state, arc = mine[0].toPandas(), mine[1].toPandas(), mine[2].toPandas()
-        counts = word.n.to_numpy()
-        sent = context.broadcast((
-            _sorted(word.h.to_numpy(np.int64).view(np.uint64), counts.astype(np.uint32) if not len(counts) or counts.max() < 1 << 32 else counts),
-            _sorted(state.h.to_numpy(np.int64).view(np.uint64), state.weight.to_numpy(np.float64)),
-            _sorted(arc_keys(arc.before.to_numpy(np.int64).view(np.uint64), arc.h.to_numpy(np.int64).view(np.uint64)), arc.weight.to_numpy(np.float64)),
-        ))
-        del word, state, arc, counts
+        sent = context.broadcast((_sorted(mine[0], "n"), _sorted(mine[1], "weight"), _sorted(mine[2], "weight")))
         columns.append(_scorer(sent, n + v)(F.col("text")).alias(f"p{part}"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", *columns)
     total = lambda name: sum((F.col(f"p{part}.{name}") for part in range(1, parts)), F.col(f"p0.{name}"))

@@ -167,7 +167,7 @@ def shards(prints: DataFrame, max_bits: int = MAX_BITS) -> tuple[DataFrame, list
         each = SAMPLE_ROWS // len(full)
         share = F.create_map(*(F.lit(x) for k, n in full.items() for x in (k, min(1.0, each / n))))
         draw = F.pmod(F.xxhash64("fp", "shard"), F.lit(1 << 20)) / (1 << 20)
-        sample = table.filter(F.col("shard").isin(list(full))).filter(draw < share[F.col("shard")]).toPandas()
+        sample = table.filter(F.col("shard").isin(list(full))).filter(draw < share[F.col("shard")]).toArrow().to_pandas()
         trees = {}
         for shard, n in full.items():
             # Sorted: the tree is the same in whatever order the sample came.
@@ -293,7 +293,7 @@ def _marked(ids: DataFrame, id_col: str) -> Column:
     """
     buckets = lambda c: F.xxhash64(c).bitwiseAND(F.lit(MARKS - 1)).cast("int")
     marks = np.zeros(MARKS, bool)
-    marks[ids.select(buckets(F.col(id_col)).alias("b")).distinct().toPandas().b.to_numpy(np.int64)] = True
+    marks[ids.select(buckets(F.col(id_col)).alias("b")).distinct().toArrow().column("b").to_numpy()] = True
     sent = ids.sparkSession.sparkContext.broadcast(np.packbits(marks))
 
     @F.arrow_udf("boolean")

@@ -54,7 +54,7 @@ def _sample(rows: DataFrame, total: int) -> pd.DataFrame:
     """Keys drawn in proportion to size, each with the bytes that it stands for."""
     draw = F.pmod(F.xxhash64("tie", "key"), F.lit(1 << 52)) / (1 << 52)
     share = F.least(F.lit(1.0), F.col("size") * (SAMPLE_KEYS / max(1, total)))
-    return rows.filter(draw < share).select("key", "tie", (F.col("size") / share).alias("weight")).toPandas()
+    return rows.filter(draw < share).select("key", "tie", (F.col("size") / share).alias("weight")).toArrow().to_pandas()
 
 
 def _ranged(rows: DataFrame, splitters: np.ndarray) -> DataFrame:
@@ -68,7 +68,7 @@ def _ranged(rows: DataFrame, splitters: np.ndarray) -> DataFrame:
 
 def _totals(rows: DataFrame) -> pd.DataFrame:
     sums = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))
-    return sums.toPandas().sort_values("part")
+    return sums.toArrow().to_pandas().sort_values("part")
 
 
 def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -111,7 +111,7 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = running.withColumn("shard", middle.cast("int"))
     placed = written(placed.select("id", "size", "crc", "part", "shard", "nth"), "placed")
     # A range lies in one shard, or in a few that follow each other.
-    cuts = placed.groupBy("shard", "part").agg(F.min("nth").alias("first"), F.count("*").alias("n")).toPandas().sort_values(["shard", "part"])
+    cuts = placed.groupBy("shard", "part").agg(F.min("nth").alias("first"), F.count("*").alias("n")).toArrow().to_pandas().sort_values(["shard", "part"])
     cuts["offset"] = cuts.groupby("shard").n.cumsum() - cuts.n - cuts["first"]
     offsets = F.broadcast(spark.createDataFrame(cuts[["shard", "part", "offset"]].astype({"shard": "int32", "part": "int64", "offset": "int64"}), "shard int, part long, offset long"))
     return placed.join(offsets, ["shard", "part"]).select(
