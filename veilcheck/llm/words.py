@@ -15,12 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pieces(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[list[bytes | None]]:
-    """The texts of a batch as UTF-8, a few megabytes (or one long text) at a time."""
+    """The texts of a batch as UTF-8, a megabyte (or one longer text) at a time."""
     raw = texts.cast(pa.large_binary())
     sizes = np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False))
     at = 0
