@@ -8,12 +8,13 @@ unigram probabilities.  One pass from left to right sums the weights.
 An arc is stored with what it adds to the way over the failure arc.  A text's
 score is then a sum over its tokens of root weight, failure weight and, where
 an arc exists, that difference; so the automaton can be searched in parts of
-bounded size, each against all texts, and the parts' sums added.
+bounded size, one after the other against all texts, and the parts' sums added.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -201,18 +202,25 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
     words, states, arcs, n, v = train_model(docs, id_col, text_col)
     entries = v + states.count() + arcs.count()
     parts = max(1, -(-entries // part_entries))
-    context = docs.sparkSession.sparkContext
-    columns = []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("id", "text"))
+    names = ["n_known", "root", "path"]
+    total, rest = None, []
     for part in range(parts):
         mine = [table.filter(F.pmod("h", F.lit(parts)) == part) if parts > 1 else table for table in (words, states, arcs)]
-        sent = context.broadcast((_sorted(mine[0], "n"), _sorted(mine[1], "weight"), _sorted(mine[2], "weight")))
-        columns.append(_scorer(sent, n + v)(F.col("text")).alias(f"p{part}"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", *columns)
-    total = lambda name: sum((F.col(f"p{part}.{name}") for part in range(1, parts)), F.col(f"p0.{name}"))
+        sent = docs.sparkSession.sparkContext.broadcast((_sorted(mine[0], "n"), _sorted(mine[1], "weight"), _sorted(mine[2], "weight")))
+        # Written part by part: a worker holds one part at a time.
+        found = written(rows.select("id", "row", _scorer(sent, n + v)(F.col("text")).alias("s")).select("id", "row", "s.*"), "scores")
+        sent.destroy()
+        if total is None:
+            total = found
+        else:
+            rest.append(found.groupBy("row").agg(*(F.max(c).alias(c) for c in names)))  # rows that repeat have the same sums
+    if rest:
+        added = reduce(DataFrame.union, rest).groupBy("row").agg(*(F.sum(c).alias(f"{c}_more") for c in names))
+        total = total.join(added, "row").withColumns({c: F.col(c) + F.col(f"{c}_more") for c in names})
     # A word's arcs and counts are in one part each; all others see it as unknown.
-    unknown = float(-np.log10(n + v + 1))
-    base = total("root") + (F.col("p0.n_tokens") - total("n_known")) * unknown
-    return rows.select(
-        F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), F.col("p0.n_tokens").alias("n_tokens"), total("n_known").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + total("path")).alias("score"),
+    base = F.col("root") + (F.col("n_tokens") - F.col("n_known")) * float(-np.log10(n + v + 1))
+    return total.select(
+        F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "n_tokens", "n_known",
+        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("path")).alias("score"),
     )
