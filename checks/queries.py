@@ -778,7 +778,7 @@ def _(spark, sf):
         "recommendation")
 
 
-@query("snk_4_text_rows", rf"""
+_TEXT_ROWS = rf"""
 SELECT idx, concat_ws(chr(10), '[' || severity || '] ' || secret_type || ' (' || category || ')',
   '  📁 File   : ' || file || ':' || line_number,
   '  🔑 Value  : ' || CASE WHEN length(matched_value) > 60 THEN substr(matched_value, 1, 60) || '...' ELSE matched_value END,
@@ -802,12 +802,73 @@ SELECT idx, concat_ws(chr(10), '[' || severity || '] ' || secret_type || ' (' ||
    FROM touches c JOIN listed l USING (file_id, var, src, sink_line)
    WHERE c.file_id = r.file_id AND c.line_number = r.line_number),
   repeat('-', 70)) AS value
-FROM ranked r""")
+FROM ranked r"""
+
+
+@query("snk_4_text_rows", _TEXT_ROWS)
 def _(spark, sf):
     ranked = findings.rank_findings(findings.deduplicate(_findings(spark, sf)))
     return reports.text_rows(ranked).select("idx", "value")
 
 
+_LAST = "4611686018427387904"
+_TOTALS = f"""
+SELECT count(*) AS found, {_COUNTS}, count(*) FILTER (trace_count > 0) AS tainted FROM ranked"""
+
+
+@query("snk_4_text_document", f"""
+SELECT CAST(0 AS BIGINT) AS idx, chr(10) || '{reports.TEXT_TITLE}' || chr(10) || 'Found ' || found
+  || ' potential secret(s)' || chr(10) || chr(10) || repeat('=', 70) AS value FROM ({_TOTALS})
+UNION ALL SELECT idx, value FROM ({_TEXT_ROWS})
+UNION ALL SELECT {_LAST}, concat_ws(chr(10), chr(10) || 'Summary:',
+  {", ".join(f"CASE WHEN {s} > 0 THEN '  {s}: ' || {s} END" for s in reversed(fv.SEVERITY_ORDER))},
+  CASE WHEN tainted > 0 THEN chr(10) || '  ⚠  Secrets actively used in dangerous sinks: ' || tainted END) FROM ({_TOTALS})""")
+def _(spark, sf):
+    return reports.text_document(_findings(spark, sf))
+
+
+_TRACES_JSON = f"""
+coalesce((SELECT list({{'source_variable': l.var, 'source_file': r.file, 'source_line': l.src, 'sink_type': l.sink,
+    'sink_file': r.file, 'sink_line': l.sink_line, 'sink_content': {o.strip('l.sink_content')}, 'depth': l.depth,
+    'steps': coalesce((SELECT list({{'file': r.file, 'line': s.line_number, 'variable': s.lhs,
+          'action': 'propagated from ' || s.origin, 'content': {o.strip('s.line')}}} ORDER BY s.line_number)
+         FROM (SELECT x.*, (SELECT t.name FROM tainted t JOIN assigns a
+                  ON a.file_id = x.file_id AND a.line_number = x.line_number
+                  WHERE t.file_id = x.file_id AND t.var = x.var AND t.src = x.src AND t.since < x.line_number
+                    AND list_contains(a.words, t.name) ORDER BY t.since LIMIT 1) AS origin FROM steps x) s
+         WHERE s.file_id = l.file_id AND s.var = l.var AND s.src = l.src AND s.line_number <= l.sink_line), [])}}
+      ORDER BY l.src, l.rule_ord, l.match_ord, l.sink_line)
+   FROM touches c JOIN listed l USING (file_id, var, src, sink_line)
+   WHERE c.file_id = r.file_id AND c.line_number = r.line_number), [])"""
+
+
+@query("snk_1_json_document", f"""
+SELECT CAST(0 AS BIGINT) AS idx, '{{"total": ' || count(*) || ', "findings": [' AS value FROM ranked
+UNION ALL SELECT idx, CASE WHEN idx > 1 THEN ',' ELSE '' END || CAST(to_json({{'file': file, 'line': line_number,
+  'type': secret_type, 'category': category, 'source': source, 'ai_detection': false, 'severity': severity, 'score': score,
+  'confidence': confidence, 'entropy': entropy, 'value': matched_value, 'context_match': context_match,
+  'structural_valid': structural_valid, 'line_content': {o.strip('line_content')}, 'taint_traces': {_TRACES_JSON}}}) AS VARCHAR)
+FROM ranked r
+UNION ALL SELECT {_LAST}, ']}}'""")
+def _(spark, sf):
+    return reports.findings_document(_findings(spark, sf))
+
+
+@query("snk_2_sarif_document", f"""
+SELECT CAST(0 AS BIGINT) AS idx, '{{"$schema": "{reports.SARIF_SCHEMA}", "version": "2.1.0", "runs": [{{"tool": {{"driver": '
+  || '{{"name": "{reports.TOOL_NAME}", "rules": [' || string_agg(CAST(to_json({{'id': rule_id, 'name': name,
+    'shortDescription': {{'text': name}}, 'fullDescription': {{'text': 'Detected potential secret: ' || name}},
+    'properties': {{'category': category, 'ai_detection': false}}}}) AS VARCHAR), ', ' ORDER BY first) || ']}}}}, "results": [' AS value
+FROM (SELECT upper(replace(secret_type, ' ', '_')) AS rule_id, min(idx) AS first, max_by(secret_type, idx) AS name,
+        max_by(category, idx) AS category FROM ranked GROUP BY ALL)
+UNION ALL SELECT idx, CASE WHEN idx > 1 THEN ',' ELSE '' END || CAST(to_json({{'ruleId': rule_id, 'level': level,
+  'message': {{'text': message}}, 'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': uri}},
+  'region': {{'startLine': start_line}}}}}}]}}) AS VARCHAR) FROM ({_SARIF}, idx FROM ranked)
+UNION ALL SELECT {_LAST}, ']}}]}}'""")
+def _(spark, sf):
+    return reports.sarif_document(_findings(spark, sf))
+
+
 @query("snk_5_env_rows", """
 SELECT session_id, idx, 'FOUND_' || replace(upper(pattern), ' ', '_') || '_' || idx || '="' || line || '"' AS value
 FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS idx FROM alarms)""")

@@ -56,6 +56,55 @@ def test_unreadable_files_give_no_rows(spark, tree):
     assert "broken.txt" not in found(read_code_tree(spark, str(tree)), tree)
 
 
+def test_names_that_are_not_utf8(spark, tree):
+    with open(os.path.join(os.fsencode(tree), b"caf\xe9.txt"), "wb") as f:
+        f.write(b"latin")
+    os.mkdir(os.path.join(os.fsencode(tree), b"d\xff"))
+    with open(os.path.join(os.fsencode(tree), b"d\xff", "ü.txt".encode()), "wb") as f:
+        f.write(b"below")
+    rows = found(read_code_tree(spark, str(tree)), tree)
+    assert rows["caf\\xe9.txt"] == "latin" and rows["d\\xff/ü.txt"] == "below" and rows[".env"] == "A=1"
+
+
+def test_other_failures_are_loud(spark, tree, monkeypatch):
+    os.symlink("loop", tree / "loop")
+    with pytest.raises(Exception, match="symbolic links"):
+        read_code_tree(spark, str(tree / "loop")).collect()
+
+
+def test_store_addresses(spark, tree):
+    rows = {r.path: r.content for r in read_code_tree(spark, f"file://{tree}").collect()}
+    assert rows[f"file://{tree}/.env"] == "A=1" and rows[f"file://{tree}/sub/.hid/a.txt"] == "h"
+    assert len(rows) == len(read_code_tree(spark, str(tree)).collect())
+    assert [r.content for r in read_code_tree(spark, f"file://{tree}/_x.py").collect()] == ["x"]
+    assert read_code_tree(spark, f"file://{tree}/missing").collect() == []
+
+
+def test_reading_tasks_follow_the_bytes(spark, tree):
+    (tree / "big.txt").write_bytes(b"x" * 100_000)
+    assert read_code_tree(spark, str(tree), task_bytes=5000).rdd.getNumPartitions() == 21
+    assert read_code_tree(spark, str(tree)).rdd.getNumPartitions() <= 8
+
+
+def test_folders_are_handed_on(spark, tmp_path, monkeypatch):
+    from veilcheck.sources import code_tree
+
+    folder = tmp_path
+    for i in range(30):
+        folder = folder / f"d{i}"
+        folder.mkdir()
+        (folder / "f.txt").write_text(str(i))
+    listing = code_tree._lister([], [], False)
+    monkeypatch.setattr(code_tree, "NAMES_PER_TASK", 4)
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([os.fsencode(tmp_path)], pa.binary()), pa.array([0]), pa.array([True])], ["raw", "size", "folder"])
+    (rows,) = listing(iter([batch]))
+    assert rows.column("folder").to_pylist().count(True) == 1 and len(rows) < 10
+    got = sorted(int(r.content) for r in read_code_tree(spark, str(tmp_path)).collect())
+    assert got == list(range(30))
+
+
 def test_wide_tree_is_listed_once(spark, tmp_path):
     for i in range(300):
         (tmp_path / f"d{i}").mkdir()
@@ -89,6 +138,21 @@ def test_archive_files(spark, tmp_path):
         ("a.zip", "src/x.py", "a"), ("b.zip", "src/x.py", "b")]
 
 
+def test_hidden_and_repeated_members(spark, tmp_path):
+    for name in (".h.zip", "_u.zip"):
+        with zipfile.ZipFile(tmp_path / name, "w") as zf:
+            zf.writestr("x.py", name)
+            with pytest.warns(UserWarning, match="Duplicate"):
+                zf.writestr("x.py", f"{name} again")
+    (tmp_path / "notes.txt").write_text("no archive")
+    want = sorted([(name, "x.py", f"{name} again") for name in (".h.zip", "_u.zip")] * 2)
+    for paths in ([str(tmp_path / ".h.zip"), str(tmp_path / "_u.zip")], str(tmp_path), f"file://{tmp_path}"):
+        rows = read_archives(spark, paths).collect()
+        assert sorted((os.path.basename(r.archive), r.path, r.content) for r in rows) == want
+    with pytest.raises(Exception, match="missing.zip"):
+        read_archives(spark, str(tmp_path / "missing.zip")).collect()
+
+
 @pytest.mark.parametrize("url, kind, name", [
     ("git@host:x/y", "git", None), ("https://h/x.git", "git", None), ("ssh://h/x.git", "git", None),
     ("HTTPS://GitHub.com/a", "zip", None), ("https://github.com/a", "git", None), ("https://h/x.git?y=1", "git", None),

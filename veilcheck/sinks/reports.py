@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv
 from ..functions import labels, text
 from ..operators.advice import with_recommendations
 from ..operators.findings import deduplicate, rank_findings, sarif_rules
@@ -24,6 +25,10 @@ SHOWN_STEP = 100
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 SARIF_VERSION = "2.1.0"
 TOOL_NAME = "veilcheck"
+TEXT_TITLE = "🔍 Secret Scanner Report"
+NOTHING_FOUND = "✅ Секреты не найдены."
+# The place of a document's last line.
+_LAST = 1 << 62
 
 
 def _cut(c: Column, limit: int) -> Column:
@@ -185,7 +190,7 @@ def _document(items: DataFrame, head: DataFrame, tail: str) -> DataFrame:
     spark = items.sparkSession
     comma = F.when(F.col("idx") > 1, ",").otherwise("")
     rows = items.select("idx", F.concat(comma, "value").alias("value"))
-    end = spark.range(1).select(F.lit((1 << 62)).alias("idx"), F.lit(tail).alias("value"))
+    end = spark.range(1).select(F.lit(_LAST).alias("idx"), F.lit(tail).alias("value"))
     return head.select(F.lit(0).cast("long").alias("idx"), "value").unionByName(rows).unionByName(end)
 
 
@@ -233,6 +238,29 @@ def sarif_document(findings: DataFrame) -> DataFrame:
     return _document(items, head, "]}]}")
 
 
+def text_document(findings: DataFrame) -> DataFrame:
+    """``(idx, value)``: the lines of the text report, deduplicated and in report order, with title and summary."""
+    ranked = rank_findings(deduplicate(findings))
+    totals = ranked.agg(
+        F.count("*").alias("found"), *[F.count_if(F.col("severity") == s).alias(s) for s in reversed(fv.SEVERITY_ORDER)],
+        F.count_if(F.col("taint_count") > 0).alias("tainted"), F.count_if(labels.is_review_finding()).alias("reviewed"),
+    )
+
+    def counted(column, label):
+        return F.when(F.col(column) > 0, F.concat(F.lit(label), F.col(column).cast("string")))
+
+    head = F.concat(F.lit(f"\n{TEXT_TITLE}\nFound "), F.col("found").cast("string"), F.lit(" potential secret(s)\n\n" + "=" * RULE_WIDTH))
+    tail = F.concat_ws(
+        "\n", F.lit("\nSummary:"), *[counted(s, f"  {s}: ") for s in reversed(fv.SEVERITY_ORDER)],
+        counted("tainted", "\n  ⚠  Secrets actively used in dangerous sinks: "),
+        counted("reviewed", "\n  🤖 Findings from LLM check: "),
+    )
+    some = F.col("found") > 0
+    first = totals.select(F.lit(0).cast("long").alias("idx"), F.when(some, head).otherwise(NOTHING_FOUND).alias("value"))
+    last = totals.filter(some).select(F.lit(_LAST).alias("idx"), tail.alias("value"))
+    return first.unionByName(text_rows(ranked).select("idx", "value")).unionByName(last)
+
+
 def write_document(document: DataFrame, path: str) -> None:
     """Writes the lines of a document in order, as range-partitioned text files."""
     document.orderBy("idx").select("value").write.mode("overwrite").text(path)
@@ -247,8 +275,7 @@ def write_sarif(findings: DataFrame, path: str) -> None:
 
 
 def write_text(findings: DataFrame, path: str) -> None:
-    ranked = rank_findings(deduplicate(findings))
-    write_document(text_rows(ranked).select("idx", "value"), path)
+    write_document(text_document(findings), path)
 
 
 def write_env(alarms: DataFrame, path: str) -> None:

@@ -11,26 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..options import DEFAULT_OPTIONS, ScanOptions
-from .code_tree import BATCH_BYTES, _suffix
+from .code_tree import BATCH_BYTES, TASK_BYTES, _suffix, list_tree, open_file, reading_tasks
 
 SCHEMA = "archive string, path string, content string"
 
 
-def explode_archives(archives: DataFrame, opts: ScanOptions = DEFAULT_OPTIONS) -> DataFrame:
-    """``files(archive, path, content)`` from ``archives(archive, bytes)``.
-
-    Members are left out if any part of their path, the file name included, is a
-    skipped directory name, or if their suffix is skipped; those are never
-    unpacked.  Members leave the task in batches, so an archive is not held
-    unpacked as a whole.  A file that is no archive fails the scan.
-    """
+def _unpacker(opts: ScanOptions, opened):
+    """Rows of archives; ``opened`` makes a file of the second column's value."""
     skip_dirs, skip_extensions = set(opts.skip_dirs), set(opts.skip_extensions)
 
     def wanted(member: str) -> bool:
         return (
             not member.endswith("/")
             and skip_dirs.isdisjoint(member.split("/"))
-            and _suffix(member) not in skip_extensions
+            and _suffix(member.encode("utf-8", "surrogateescape")) not in skip_extensions
         )
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -41,10 +35,10 @@ def explode_archives(archives: DataFrame, opts: ScanOptions = DEFAULT_OPTIONS) -
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for incoming in batches:
-            for archive, data in zip(incoming.column(0).to_pylist(), incoming.column(1)):
-                with zipfile.ZipFile(io.BytesIO(data.as_buffer())) as zf:
-                    # A name stored twice is read once; the later entry counts.
-                    for member in dict.fromkeys(filter(wanted, zf.namelist())):
+            for archive, value in zip(incoming.column(0).to_pylist(), incoming.column(1), strict=True):
+                with opened(value) as file, zipfile.ZipFile(file) as zf:
+                    # A name stored twice is listed twice, with the text of its later entry.
+                    for member in filter(wanted, zf.namelist()):
                         raw = zf.read(member).decode("utf-8", errors="ignore")
                         text = raw.replace("\r\n", "\n").replace("\r", "\n")
                         rows.append((archive, member, text))
@@ -55,10 +49,30 @@ def explode_archives(archives: DataFrame, opts: ScanOptions = DEFAULT_OPTIONS) -
         if rows:
             yield batch(rows)
 
+    return unpack
+
+
+def explode_archives(archives: DataFrame, opts: ScanOptions = DEFAULT_OPTIONS) -> DataFrame:
+    """``files(archive, path, content)`` from ``archives(archive, bytes)``.
+
+    Members are left out if any part of their path, the file name included, is a
+    skipped directory name, or if their suffix is skipped; those are never
+    unpacked.  Members leave the task in batches, so an archive is not held
+    unpacked as a whole.  A file that is no archive fails the scan.
+    """
+    unpack = _unpacker(opts, lambda value: io.BytesIO(value.as_buffer()))
     return archives.select("archive", "bytes").mapInArrow(unpack, SCHEMA)
 
 
-def read_archives(spark: SparkSession, paths: list[str] | str, opts: ScanOptions = DEFAULT_OPTIONS) -> DataFrame:
-    """``files(archive, path, content)`` of zip files, from any file system Spark reads."""
-    files = spark.read.format("binaryFile").load(paths)
-    return explode_archives(files.select(F.col("path").alias("archive"), F.col("content").alias("bytes")), opts)
+def read_archives(spark: SparkSession, paths: list[str] | str, opts: ScanOptions = DEFAULT_OPTIONS,
+                  task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``files(archive, path, content)`` of zip files, by name or all ``.zip`` files below a folder.
+
+    Hidden archives count like any other; one that is named but missing is an
+    error.  Archives are opened in place, so none is held as a whole.
+    """
+    named = [paths] if isinstance(paths, str) else list(paths)
+    files = list_tree(spark, named, [], [], strict=True)
+    files = files.filter(F.col("path").isin(named) | F.lower("path").endswith(".zip"))
+    unpack = _unpacker(opts, lambda value: open_file(value.as_py()))
+    return files.select("path", "raw").repartition(reading_tasks(files, task_bytes)).mapInArrow(unpack, SCHEMA)
