@@ -210,6 +210,23 @@ def _(spark, sf):
     return blobs.select("path", "source", F.md5("content").alias("digest"))
 
 
+_REPO = "CASE WHEN path_ord % 3 = 0 THEN 'a' ELSE 'b' END"
+
+
+@query("src_3_history_repos", f"""
+SELECT repo, 'history/' || substr(commit_id, 1, 12) || '/' || path AS path, md5(content) AS digest
+FROM (SELECT *, {_REPO} AS repo FROM blobs
+      WHERE commit_ord >= CASE WHEN path_ord % 3 = 0 THEN 0 ELSE 1 END AND NOT {o.skipped('path', 'parts')}
+      QUALIFY dense_rank() OVER (PARTITION BY repo ORDER BY commit_ord) <= 2)
+WHERE content <> ''
+QUALIFY row_number() OVER (PARTITION BY repo, blob_hash ORDER BY commit_ord, path_ord) = 1""")
+def _(spark, sf):
+    # Repository b lacks the newest commit of repository a, so their newest two differ.
+    blobs = spark_view(spark, sf, "blobs").withColumn("repo", F.expr(_REPO)).filter("repo = 'a' OR commit_ord >= 1")
+    found = history.history_files(blobs, 2, repo=["repo"])
+    return found.select("repo", "path", F.md5("content").alias("digest"))
+
+
 @query("src_4_rules", "SELECT r.*, coalesce(n, 0) AS matches FROM (VALUES " + ", ".join(
     f"({i}, {o.text_literal(r.name)}, {r.score}, {o.text_literal(r.category)}, {r.group})"
     for i, r in enumerate(rules())
