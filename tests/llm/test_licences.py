@@ -2,7 +2,6 @@
 
 import re
 
-import pytest
 
 from veilcheck.llm import licences
 from veilcheck.llm.licences import CODES, FILLER, GATE, LETTERS, RULES, SENTENCES, scan_licences
