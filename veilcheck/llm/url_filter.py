@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilcheck.functions.text import bind
+
 #: Action, host and path of each rule; a rule fits its host and all subdomains.
 RULES = (
     ("allow", "org", "/"),
@@ -46,11 +48,14 @@ def grams(host: Column, path: Column) -> Column:
     """Character n-grams of host and path, told apart; ``^`` and ``$`` mark the ends of each."""
 
     def run(mark: str, chars: Column, n: int) -> Column:
-        every = F.transform(chars, lambda _, i: F.concat(F.lit(mark), F.array_join(F.slice(chars, i + 1, n), "")))
+        every = F.transform(chars, lambda c, i: F.concat(F.lit(mark), c, *(F.get(chars, i + k) for k in range(1, n))))
         return F.slice(every, F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(0)))
 
-    marked = {mark: F.split(F.concat(F.lit("^"), part, F.lit("$")), "") for mark, part in (("h", host), ("p", path))}
-    return F.concat(*(run(mark, chars, n) for mark, chars in marked.items() for n in GRAMS))
+    def of(mark: str, part: Column) -> Column:
+        # Bound, so that a URL is split once and not for every gram.
+        return bind(F.split(F.concat(F.lit("^"), part, F.lit("$")), ""), lambda chars: F.concat(*(run(mark, chars, n) for n in GRAMS)))
+
+    return F.concat(of("h", host), of("p", path))
 
 
 def _features(table: DataFrame) -> DataFrame:
