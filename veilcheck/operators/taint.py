@@ -181,9 +181,14 @@ def traces_at(flows: Column, path: Column, line_number: Column | None = None) ->
 
 
 def taint_flows(files: DataFrame) -> DataFrame:
-    """``flows`` of ``files(path, lines, secrets)``, one row per file; other columns are kept."""
+    """``flows`` of ``files(path, lines, secrets)``, one row per file that has any; other columns are kept.
+
+    Files without flows are left out by a generator: a filter on the flows would
+    be pushed to the text, and follow everything once more to decide.
+    """
     others = [c for c in files.columns if c not in ("path", "lines", "secrets")]
-    return files.select(*others, "path", flows_of("lines", "path", "secrets").alias("flows"))
+    some = F.filter(F.array(flows_of("lines", "path", "secrets")), lambda flows: F.size(flows) > 0)
+    return files.select(*others, "path", F.explode(some).alias("flows"))
 
 
 def taint_traces(files: DataFrame) -> DataFrame:
@@ -199,7 +204,7 @@ def attach_traces(findings: DataFrame, flows: DataFrame) -> DataFrame:
     Flows travel in their compact form, one row per file that has any.
     """
     kept = [c for c in findings.columns if c not in ("taint_traces", "taint_count")]
-    of_file = flows.filter(F.size("flows") > 0).select(F.col("path").alias("file"), F.col("flows").alias("_flows"))
+    of_file = flows.select(F.col("path").alias("file"), F.col("flows").alias("_flows"))
     joined = findings.select(*kept).join(of_file, "file", "left")
     known = F.coalesce("_flows", F.array().cast(FLOWS))
     return joined.select(

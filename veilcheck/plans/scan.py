@@ -152,8 +152,7 @@ def file_flows(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOpti
         F.filter("_hits", lambda h: h["variable"].isNotNull()),
         lambda h: F.struct(h["variable"].alias("variable"), h["line_number"].alias("line_number")),
     )
-    found = taint.taint_flows(lines.select(*kept, "path", F.col("_lines").alias("lines"), secrets.alias("secrets")))
-    return found.filter(F.size("flows") > 0)
+    return taint.taint_flows(lines.select(*kept, "path", F.col("_lines").alias("lines"), secrets.alias("secrets")))
 
 
 def rescore(hits: DataFrame, opts: ScanOptions = DEFAULT_OPTIONS) -> DataFrame:
