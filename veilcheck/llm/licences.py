@@ -7,6 +7,11 @@ matched on it from left to right, the first rule that fits at a place winning.
 
 Texts are read twice: line by line, and with lines joined, so that a notice is
 found whether it was wrapped or not.
+
+The cut also parts a notice at a colon, at a semicolon, after "v." and, with
+lines joined, at the "//" of an address; sentences are stored as the cut leaves
+them.  A copyright line right above a notice takes in the notice's first
+sentence when lines are joined; the rules named "headless" go without it.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ SENTENCES = {
     "apache-copy": "you may obtain a copy of the license at",
     "apache-copy-url": "you may obtain a copy of the license at http www apache org licenses license 2 0",
     "apache-url": "http www apache org licenses license 2 0",
+    "apache-copy-http": "you may obtain a copy of the license at http",
     "apache-basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-see": "see the license for the specific language governing permissions and limitations under the license",
     "mit-title": "mit license",
@@ -39,7 +45,11 @@ SENTENCES = {
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "gpl-line": "this work is licensed under the gnu general public license version 3",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-program": "this program is free software",
+    "gpl-modify": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-useful": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-merchant": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-details": "see the gnu general public license for more details",
     "gpl-copy": "you should have received a copy of the gnu general public license along with this program",
     "cc-by": "licensed under cc by 4 0",
@@ -50,28 +60,47 @@ SENTENCES = {
     "cc-by-nc-nd": "licensed under cc by nc nd 4 0",
     "cc-by-long": "this work is licensed under a creative commons attribution 4 0 international license",
     "mpl-terms": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-terms-v": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl-version": "2 0",
     "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "mpl-copy-http": "if a copy of the mpl was not distributed with this file you can obtain one at http",
     "unlicense": "this is free and unencumbered software released into the public domain",
-    "spdx-apache": "spdx license identifier apache 2 0",
-    "spdx-mit": "spdx license identifier mit",
-    "spdx-bsd-2": "spdx license identifier bsd 2 clause",
-    "spdx-bsd-3": "spdx license identifier bsd 3 clause",
-    "spdx-gpl-3": "spdx license identifier gpl 3 0 or later",
-    "spdx-mpl": "spdx license identifier mpl 2 0",
+    "spdx-tag": "spdx license identifier",
+    "spdx-apache": "apache 2 0",
+    "spdx-mit": "mit",
+    "spdx-bsd-2": "bsd 2 clause",
+    "spdx-bsd-3": "bsd 3 clause",
+    "spdx-gpl-3": "gpl 3 0 or later",
+    "spdx-mpl": "mpl 2 0",
 }
 #: Rules in the order in which they are tried: name, licence, sentences.
 RULES = (
     ("apache-notice", "Apache-2.0", ("apache-grant-use", "apache-copy-url", "apache-basis", "apache-see")),
     ("apache-notice-lines", "Apache-2.0", ("apache-grant", "apache-use", "apache-copy", "apache-url", "apache-basis", "apache-see")),
     ("apache-notice-url-line", "Apache-2.0", ("apache-grant-use", "apache-copy", "apache-url", "apache-basis", "apache-see")),
+    ("apache-notice-cut", "Apache-2.0", ("apache-grant", "apache-use", "apache-copy", "apache-basis", "apache-see")),
+    ("apache-notice-cut-http", "Apache-2.0", ("apache-grant", "apache-use", "apache-copy-http", "apache-basis", "apache-see")),
+    ("apache-notice-cut-line", "Apache-2.0", ("apache-grant", "apache-use", "apache-copy-url", "apache-basis", "apache-see")),
+    ("apache-notice-headless", "Apache-2.0", ("apache-use", "apache-copy", "apache-basis", "apache-see")),
+    ("apache-notice-headless-http", "Apache-2.0", ("apache-use", "apache-copy-http", "apache-basis", "apache-see")),
     ("apache-notice-short", "Apache-2.0", ("apache-grant-use", "apache-copy-url")),
     ("mit-text-titled", "MIT", ("mit-title", "mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
     ("mit-text-the-titled", "MIT", ("the-mit-title", "mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
     ("mit-text", "MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
+    ("mit-text-headless", "MIT", ("mit-notice", "mit-warranty", "mit-liability")),
     ("bsd-3-text", "BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("bsd-2-text", "BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("bsd-3-text-headless", "BSD-3-Clause", ("bsd-source", "bsd-binary", "bsd-names")),
+    ("bsd-2-text-headless", "BSD-2-Clause", ("bsd-source", "bsd-binary")),
+    ("gpl-3-notice-cut", "GPL-3.0-or-later", ("gpl-program", "gpl-modify", "gpl-useful", "gpl-merchant", "gpl-details", "gpl-copy")),
+    ("gpl-3-notice-cut-short", "GPL-3.0-or-later", ("gpl-program", "gpl-modify", "gpl-useful", "gpl-merchant", "gpl-details")),
+    ("gpl-3-notice-headless", "GPL-3.0-or-later", ("gpl-modify", "gpl-useful", "gpl-merchant", "gpl-details", "gpl-copy")),
+    ("gpl-3-notice-headless-short", "GPL-3.0-or-later", ("gpl-modify", "gpl-useful", "gpl-merchant", "gpl-details")),
     ("gpl-3-notice", "GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-details", "gpl-copy")),
     ("gpl-3-notice-short", "GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-details")),
+    ("mpl-2-notice-cut", "MPL-2.0", ("mpl-terms-v", "mpl-version", "mpl-copy")),
+    ("mpl-2-notice-cut-http", "MPL-2.0", ("mpl-terms-v", "mpl-version", "mpl-copy-http")),
+    ("mpl-2-notice-headless", "MPL-2.0", ("mpl-version", "mpl-copy-http")),
     ("mpl-2-notice", "MPL-2.0", ("mpl-terms", "mpl-copy")),
     ("apache-line", "Apache-2.0", ("apache-line",)),
     ("apache-grant", "Apache-2.0", ("apache-grant",)),
@@ -79,6 +108,8 @@ RULES = (
     ("mit-licensed", "MIT", ("mit-licensed",)),
     ("gpl-3-line", "GPL-3.0-only", ("gpl-line",)),
     ("gpl-3-free", "GPL-3.0-or-later", ("gpl-free",)),
+    ("gpl-3-free-cut", "GPL-3.0-or-later", ("gpl-program", "gpl-modify")),
+    ("mpl-2-terms-cut", "MPL-2.0", ("mpl-terms-v", "mpl-version")),
     ("mpl-2-terms", "MPL-2.0", ("mpl-terms",)),
     ("cc-by", "CC-BY-4.0", ("cc-by",)),
     ("cc-by-long", "CC-BY-4.0", ("cc-by-long",)),
@@ -88,18 +119,18 @@ RULES = (
     ("cc-by-nc-sa", "CC-BY-NC-SA-4.0", ("cc-by-nc-sa",)),
     ("cc-by-nc-nd", "CC-BY-NC-ND-4.0", ("cc-by-nc-nd",)),
     ("unlicense", "Unlicense", ("unlicense",)),
-    ("spdx-apache", "Apache-2.0", ("spdx-apache",)),
-    ("spdx-mit", "MIT", ("spdx-mit",)),
-    ("spdx-bsd-2", "BSD-2-Clause", ("spdx-bsd-2",)),
-    ("spdx-bsd-3", "BSD-3-Clause", ("spdx-bsd-3",)),
-    ("spdx-gpl-3", "GPL-3.0-or-later", ("spdx-gpl-3",)),
-    ("spdx-mpl", "MPL-2.0", ("spdx-mpl",)),
+    ("spdx-apache", "Apache-2.0", ("spdx-tag", "spdx-apache")),
+    ("spdx-mit", "MIT", ("spdx-tag", "spdx-mit")),
+    ("spdx-bsd-2", "BSD-2-Clause", ("spdx-tag", "spdx-bsd-2")),
+    ("spdx-bsd-3", "BSD-3-Clause", ("spdx-tag", "spdx-bsd-3")),
+    ("spdx-gpl-3", "GPL-3.0-or-later", ("spdx-tag", "spdx-gpl-3")),
+    ("spdx-mpl", "MPL-2.0", ("spdx-tag", "spdx-mpl")),
 )
 
-#: Every known sentence has one of these words; a text without them has no licence.
-GATE = "licens|copyright|redistribut|warrant|free software|unencumbered|mpl"
-#: A sentence without bearing on the order: a copyright line, or a list number.
-FILLER = "^(copyright .*|c [0-9]{4}.*|all rights reserved|[a-z0-9]{0,2})$"
+#: Every rule has a sentence with one of these words (the last few are parts that follow one); a text without them has no licence.
+GATE = "licens|copyright|redistribut|warrant|free software|unencumbered|mpl|^(2 0|mit|apache 2 0|bsd [23] clause|gpl 3 0 or later)$"
+#: A sentence without bearing on the order: a copyright line, a list number, or an address cut off at its "//".
+FILLER = "^(copyright .*|c [0-9]{4}.*|all rights reserved|[a-z0-9]{0,2}|http|(www )?apache org licenses license 2 0( txt| html)?|(www )?mozilla org mpl 2 0)$"
 _END = r"([.!?;:])"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -139,7 +170,9 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated row yields its rows again; a null id stays null.  No row is moved.
     """
     text = F.col("text")
-    matches = [F.regexp_extract_all(letters(s), F.lit(f"({'|'.join(CODES)})"), 1) for s in sentences(text)]
+    # An address is read alike with https, and a tag with no blank after its colon like one with a blank.
+    plain = F.regexp_replace(F.regexp_replace(text, "(?i)https://", "http://"), r"(?i)(SPDX-License-Identifier:)(\w)", "$1 $2")
+    matches = [F.regexp_extract_all(letters(s), F.lit(f"({'|'.join(CODES)})"), 1) for s in sentences(plain)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(text.rlike(f"(?i){GATE}"))
     rows = rows.select("id", matches[0].alias("lines"), matches[1].alias("joined"))
     found = rows.select("id", "lines", "joined", F.explode(F.array_distinct(F.concat("lines", "joined"))).alias("code"))
