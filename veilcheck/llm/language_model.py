@@ -5,20 +5,21 @@ carries the discounted bigram's log10 probability; where there is none, the
 failure arc (the state's backoff weight) leads to the root, whose arcs carry the
 unigram probabilities.  One pass from left to right sums the weights.
 
-An arc is stored with what it adds to the way over the failure arc.  A text's
-score is then a sum over its tokens of root weight, failure weight and, where
-an arc exists, that difference; so the automaton can be searched in parts of
-bounded size, one after the other against all texts, and the parts' sums added.
+Texts are cut into words once and kept as blocks of some million tokens.  A
+block sends its distinct words and bigrams, sorted by hash, to the parts of the
+automaton, each of which holds a range of hashes; a part adds the counts of all
+blocks and answers in the order in which it was asked, so that answers need no
+keys.  Each bigram of the training texts is answered with a mark to one block
+alone, which adds it to its state.  Nothing passes through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +31,19 @@ MIN_ARC_COUNT = 5
 DISCOUNT = 0.75
 #: One of so many parts, by crc32 of the id, is held out.
 FOLDS, HELD_OUT = 7, 2
-#: Entries of the automaton that are sent to all tasks at once (12 or 16 bytes each).
+#: Tokens of the texts for each part of the automaton, which bounds the part's entries.
 PART_ENTRIES = 1 << 24
-#: Tokens that a task counts before it hands counts on.
+#: There are as many parts at least.
+LEAST_PARTS = 1024
+#: Tokens that a task gathers before it hands them on as a block.
 COUNT_AT_ONCE = 1 << 22
-#: Buckets that mark words frequent enough to be in an arc.
-_MARKS = 1 << 23
-_GATE = 1 << 24
 #: The end of a text, which is also the state before its first word.
 END = b""
 
+_WORDS, _PAIRS = 0, 1
+_ASKED = "p int, block long, kind int, n int, keys binary, counts binary"
+_ANSWERED = "block long, p int, kind int, n int, width int, found binary, n_new long"
+
 
 def held_out(doc_id: Column) -> Column:
     """Whether a document takes no part in training; a null id does."""
@@ -51,142 +55,229 @@ def arc_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(before * np.uint64(0x9E3779B97F4A7C15) + words)
 
 
-def _with_before(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes, those before them (the end, before a text's first), and where texts start."""
-    tokens, starts = text_hashes(texts, end=True)
-    before = np.roll(tokens, 1)  # the token before a text's first is the end of the text before, or of the last
-    return tokens, before, starts
+def packed(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def count_words(train: DataFrame) -> DataFrame:
-    """``(h, n)``: how often each token (by its hash) occurs in ``train(text)``."""
+def unpacked(raw: bytes, kind: type | str, n: int) -> np.ndarray:
+    """The numbers that ``packed`` took."""
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind)[:, 0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
-            words, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.record_batch([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "n"])
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, packed as differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
-        for batch in batches:
-            for some in pieces(batch.column(0)):
-                held.append(text_hashes(some, end=True)[0])
-                if sum(map(len, held)) >= COUNT_AT_ONCE:
-                    yield flush()
-        if held:
-            yield flush()
 
-    return train.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+def unpacked_keys(raw: bytes, n: int) -> np.ndarray:
+    """The keys that ``packed_keys`` took."""
+    return np.cumsum(unpacked(raw, np.uint64, n), dtype=np.uint64)
 
 
-def count_arcs(train: DataFrame, marks: Broadcast) -> DataFrame:
-    """``(before, h, n)`` of the bigrams that occur often enough.
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest unsigned type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
-    ``marks`` has a bit for each bucket of words that are frequent enough
-    themselves; a bigram with any other word cannot be.
-    """
+
+def _cuts(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """The parts that hold some of the sorted keys, and where."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    at = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
+    for start, end in zip(at, np.append(at[1:], len(keys)), strict=False):
+        yield int(part[start]), slice(int(start), int(end))
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """One row per block of ``docs(id, held, text)``: ids, folds, tokens of each text, sorted words, and each token's place among them."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(marks.value).view(bool)
-        held: list[np.ndarray] = []
+        held: list[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]] = []
+        task, made = TaskContext.get().partitionId(), 0
 
         def flush() -> pa.RecordBatch:
-            pairs = np.concatenate(held, axis=1)
+            nonlocal made
+            ids, folds = (pa.concat_arrays([x[i] for x in held]) for i in (0, 1))
+            sizes, hashes = (np.concatenate([x[i] for x in held]) for i in (2, 3))
             held.clear()
-            _, first, counts = np.unique(arc_keys(*pairs), return_index=True, return_counts=True)
-            before, words = pairs[:, first].view(np.int64)
-            return pa.record_batch([pa.array(before), pa.array(words), pa.array(counts.astype(np.int32))], ["before", "h", "n"])
+            words, tokens = np.unique(hashes, return_inverse=True)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, folds, pa.array(sizes))]
+            block, made = (task << 32) + made, made + 1
+            plain = [pa.array([x], t) for x, t in ((block, pa.int64()), (len(words), pa.int32()), (len(tokens), pa.int64()), (packed_keys(words), pa.binary()), (packed(tokens.astype(np.int32)), pa.binary()))]
+            return pa.record_batch([*plain, *lists], ["block", "n_words", "n_tokens", "words", "tokens", "ids", "folds", "sizes"])
 
         for batch in batches:
-            for some in pieces(batch.column(0)):
-                tokens, before, _ = _with_before(some)
-                known = frequent[(tokens & np.uint64(_MARKS - 1)).astype(np.int64)]
-                both = known & np.roll(known, 1)
-                held.append(np.stack([before[both], tokens[both]]))
-                if sum(x.shape[1] for x in held) >= COUNT_AT_ONCE:
+            at = 0
+            for some in pieces(batch.column(2)):
+                hashes, starts = text_hashes(some, end=True)
+                held.append((batch.column(0).slice(at, len(some)), batch.column(1).slice(at, len(some)), np.diff(starts), hashes))
+                at += len(some)
+                if sum(len(x[3]) for x in held) >= COUNT_AT_ONCE:
                     yield flush()
         if held:
             yield flush()
 
-    pairs = train.mapInArrow(run, "before long, h long, n int").groupBy("before", "h").agg(F.sum("n").alias("n"))
-    return pairs.filter(F.col("n") >= MIN_ARC_COUNT)
-
-
-def _marks(words: DataFrame) -> np.ndarray:
-    """A bit for each bucket that holds a frequent word; at most ``_MARKS`` buckets, however many words."""
-    buckets = words.filter(F.col("n") >= MIN_ARC_COUNT).select(F.col("h").bitwiseAND(F.lit(_MARKS - 1)).cast("int").alias("b")).distinct()
-    marks = np.zeros(_MARKS, bool)
-    marks[buckets.toArrow().column("b").to_numpy()] = True
-    return np.packbits(marks)
-
-
-def train_model(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
-    """Words ``(h, n)``, states ``(h, weight)`` with a failure weight, arcs ``(before, h, weight)``, tokens and distinct tokens."""
-    train = docs.filter(~held_out(F.col(id_col))).select(F.col(text_col))
-    words = written(count_words(train), "words")
-    seen = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    arcs = written(count_arcs(train, docs.sparkSession.sparkContext.broadcast(_marks(words))), "bigrams")
-    root = (F.col("c") + 1) / F.lit(float(seen.n + seen.v + 1))
-    arcs = written(arcs.join(words.withColumnRenamed("n", "c"), "h").select("before", "h", "n", root.alias("root")), "arcs")
-    states = arcs.groupBy("before").agg(F.sum(F.col("n") - DISCOUNT).alias("kept"), F.sum("root").alias("low"))
-    states = states.join(words.select(F.col("h").alias("before"), F.col("n").alias("total")), "before")
-    failure = F.log10((1 - F.col("kept") / F.col("total")) / F.greatest(1 - F.col("low"), F.lit(1e-12)))
-    states = written(states.select("before", "total", failure.alias("failure")), "states")
-    gain = F.log10((F.col("n") - DISCOUNT) / F.col("total")) - F.log10("root") - F.col("failure")
-    arcs = written(arcs.join(states, "before").select("before", "h", gain.alias("weight")), "weights")
-    return words, states.select(F.col("before").alias("h"), F.col("failure").alias("weight")), arcs, seen.n, seen.v
-
-
-def _sorted(table: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and values of a part of the automaton, by key; an arc's key is made of both of its ends."""
-    held = table.toArrow()
-    column = lambda name: held.column(name).to_numpy()
-    keys, values = column("h").view(np.uint64), column(value)
-    if "before" in held.column_names:
-        keys = arc_keys(column("before").view(np.uint64), keys)
-    if values.dtype == np.int64 and (not len(values) or values.max() < 1 << 32):
-        values = values.astype(np.uint32)
-    order = np.argsort(keys)
-    return keys[order], values[order]
-
-
-def _lookup(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """The value of each key (sorted), zero where there is none."""
-    known, values = table
-    if not len(known):
-        return np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[at] == keys, values[at], 0)
-
-
-def _scorer(sent: Broadcast, size: int):
-    """Tokens, known ones, their root weights, and the weights of failure arcs and arcs, by one part of the automaton."""
-    names = ["n_tokens", "n_known", "root", "path"]
-    gate: list[np.ndarray] = []
-
-    @F.arrow_udf("struct<n_tokens:long,n_known:long,root:double,path:double>")
-    def run(texts: pa.Array) -> pa.Array:
-        words, states, arcs = sent.value
-        if not gate:
-            gate.append(np.zeros(_GATE, bool))
-            gate[0][(arcs[0] & np.uint64(_GATE - 1)).astype(np.int64)] = True
-        columns: list[list[np.ndarray]] = [[], [], [], []]
-        for some in pieces(texts):
-            tokens, before, starts = _with_before(some)
-            distinct, at = np.unique(tokens, return_inverse=True)
-            counts = _lookup(words, distinct)
-            root = np.where(counts > 0, np.log10((counts + 1) / (size + 1)), 0.0)[at]
-            path = np.roll(_lookup(states, distinct)[at], 1)  # the failure weight of the token before, as in _with_before
-            keys = arc_keys(before, tokens)
-            some_arc = np.flatnonzero(gate[0][(keys & np.uint64(_GATE - 1)).astype(np.int64)])
-            found, back = np.unique(keys[some_arc], return_inverse=True)
-            path[some_arc] += _lookup(arcs, found)[back]
-            for column, values in zip(columns, (np.ones(len(tokens), np.int64), (counts > 0).astype(np.int64)[at], root, path), strict=True):
-                column.append(np.add.reduceat(values, starts[:-1]))
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(c)) if c else pa.array([], pa.int64() if i < 2 else pa.float64()) for i, c in enumerate(columns)], names)
-
-    return run
+    names = f"block long, n_words int, n_tokens long, words binary, tokens binary, ids array<{kind}>, folds array<boolean>, sizes array<long>"
+    return docs.select("id", "held", "text").mapInArrow(run, names)
+
+
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a block, and of each token the places of the one before it and of itself."""
+    words, tokens = unpacked_keys(row["words"], row["n_words"]), unpacked(row["tokens"], np.int32, row["n_tokens"])
+    return words, np.roll(tokens, 1), tokens  # before a text's first token is the end of the text before, or of the last
+
+
+def _asked(blocks: DataFrame, parts: int) -> DataFrame:
+    """What each block asks of each part: sorted keys, and how often the block's training texts have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in ("block", "n_words", "n_tokens", "words", "tokens")}
+                words, before, tokens = _opened(row)
+                folds, sizes = (batch.column(name)[i].values.to_numpy(zero_copy_only=False) for name in ("folds", "sizes"))
+                learnt = np.repeat(~folds.astype(bool), sizes)
+                keys, at = np.unique(arc_keys(words[before], words[tokens]), return_inverse=True)
+                rows = []
+                for kind, mine, places in ((_WORDS, words, tokens), (_PAIRS, keys, at)):
+                    counts = np.bincount(places[learnt], minlength=len(mine)).astype(np.uint32)
+                    rows += [(p, row["block"], kind, cut.stop - cut.start, packed_keys(mine[cut]), packed(counts[cut])) for p, cut in _cuts(mine, parts)]
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["p", "block", "kind", "n", "keys", "counts"])
+
+    return blocks.mapInArrow(run, _ASKED)
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """The counts over all blocks, in the order asked, doubled, plus one for the block that is to add a bigram to its state."""
+
+    def run(part: pa.Table) -> pa.Table:
+        rows, asking = [], part.to_pylist()
+        for kind in (_WORDS, _PAIRS):
+            mine = [r for r in asking if r["kind"] == kind]
+            if not mine:
+                continue
+            keys, at = np.unique(np.concatenate([unpacked_keys(r["keys"], r["n"]) for r in mine]), return_inverse=True)
+            counts = np.concatenate([unpacked(r["counts"], np.uint32, r["n"]) for r in mine])
+            total = np.zeros(len(keys), np.uint64)
+            np.add.at(total, at, counts.astype(np.uint64))
+            learnt = np.flatnonzero(counts > 0)
+            _, first = np.unique(at[learnt], return_index=True)
+            marked = np.zeros(len(at), np.uint64)
+            marked[learnt[first]] = 1
+            least = np.uint64(MIN_ARC_COUNT if kind == _PAIRS else 1)
+            found = np.where(total >= least, total, 0).astype(np.uint64)[at] * np.uint64(2)
+            found += marked * (found > 0)
+            ends = np.cumsum([r["n"] for r in mine])
+            for j, (r, end) in enumerate(zip(mine, ends, strict=True)):
+                values = _narrow(found[end - r["n"] : end])
+                rows.append((r["block"], r["p"], kind, r["n"], values.itemsize, packed(values), int((total > 0).sum()) if not j and kind == _WORDS else 0))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "p", "kind", "n", "width", "found", "n_new"])
+
+    return asked.groupBy("p").applyInArrow(run, _ANSWERED)
+
+
+def _counts(answers: list[dict], kind: int) -> np.ndarray:
+    """The answers of all parts to one block, in the order of its keys."""
+    mine = sorted((r for r in answers if r["kind"] == kind), key=lambda r: r["p"])
+    return np.concatenate([unpacked(r["found"], f"u{r['width']}", r["n"]).astype(np.uint64) for r in mine])
+
+
+_SUMMED = "p int, block long, n int, keys binary, total binary, kept binary, low binary, missing boolean"
+_SUMS = ("known", "base", "path")
+
+
+def _summed(blocks: DataFrame, answers: DataFrame, size: int, parts: int) -> DataFrame:
+    """Of each block, sums of its texts without failure weights, then what it adds to states and which states' failure weights it needs."""
+    kind = blocks.schema["ids"].dataType.simpleString()
+    more = f"ids {kind}, folds array<boolean>, sizes array<long>, {', '.join(f'{x} array<double>' for x in _SUMS)}, n_missing long, places binary, texts binary"
+    empty = {"p": -1, "n": 0}
+
+    def run(block: pa.Table, answered: pa.Table) -> pa.Table:
+        row = {name: block.column(name)[0].as_py() for name in ("block", "n_words", "n_tokens", "words", "tokens")}
+        words, before, tokens = _opened(row)
+        replies = answered.to_pylist()
+        counts, pairs = _counts(replies, _WORDS) >> np.uint64(1), _counts(replies, _PAIRS)
+        _, first, at = np.unique(arc_keys(words[before], words[tokens]), return_index=True, return_inverse=True)
+        root = (counts + 1.0) / (size + 1)
+        n = (pairs >> np.uint64(1)).astype(np.float64)
+        total = counts.astype(np.float64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            arc = np.where(n > 0, np.log10((n - DISCOUNT) / total[before[first]]), np.log10(root)[tokens[first]])[at]
+        sizes = block.column("sizes")[0].values.to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        sums = [np.add.reduceat(x, starts) for x in ((counts > 0).astype(np.float64)[tokens], np.log10(root)[tokens], arc)]
+        missing = np.flatnonzero((n == 0)[at])
+        needed, places = np.unique(before[missing], return_inverse=True)
+        texts = np.searchsorted(starts, missing, side="right") - 1
+        out = [empty | {"block": row["block"], "n_missing": len(missing), "places": packed(places.astype(np.int32)) if len(missing) else b"", "texts": packed(texts.astype(np.int32)) if len(missing) else b""}]
+        mine = first[(pairs & np.uint64(1)) > 0]
+        low = np.bincount(before[mine], root[tokens[mine]], len(words))
+        kept = np.bincount(before[mine], n[(pairs & np.uint64(1)) > 0] - DISCOUNT, len(words))
+        for places_of, is_missing in ((np.flatnonzero(kept > 0), False), (needed, True)):
+            keys = words[places_of]
+            for p, cut in _cuts(keys, parts):
+                values = {} if is_missing else {name: packed(x[places_of[cut]]) for name, x in (("total", total), ("kept", kept), ("low", low))}
+                out.append({"p": p, "block": row["block"], "n": cut.stop - cut.start, "keys": packed_keys(keys[cut]), "missing": is_missing} | values)
+        plain = pa.Table.from_pylist(out, pa.schema([("p", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("total", pa.binary()), ("kept", pa.binary()), ("low", pa.binary()), ("missing", pa.bool_())]))
+        rest = pa.Table.from_pylist(out, pa.schema([("n_missing", pa.int64()), ("places", pa.binary()), ("texts", pa.binary())]))
+        for name, values in [*((x, block.column(x).combine_chunks().slice(0, 1)) for x in ("ids", "folds", "sizes")), *((x, pa.array([y], pa.list_(pa.float64()))) for x, y in zip(_SUMS, sums, strict=True))]:
+            plain = plain.append_column(name, pa.concat_arrays([values, pa.nulls(len(out) - 1, values.type)]))
+        for name in rest.column_names:
+            plain = plain.append_column(name, rest.column(name))
+        return plain
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"{_SUMMED}, {more}")
+
+
+def _failures(asked: DataFrame) -> DataFrame:
+    """The failure weights that blocks need, in the order asked; zero for a state without arcs."""
+
+    def run(part: pa.Table) -> pa.Table:
+        rows = part.to_pylist()
+        given, needed = ([r for r in rows if r["missing"] is x] for x in (False, True))
+        known, failure = np.zeros(0, np.uint64), np.zeros(0)
+        if given and needed:
+            known, at = np.unique(np.concatenate([unpacked_keys(r["keys"], r["n"]) for r in given]), return_inverse=True)
+            total, kept, low = (np.concatenate([unpacked(r[x], np.float64, r["n"]) for r in given]) for x in ("total", "kept", "low"))
+            whole = np.zeros(len(known))
+            whole[at] = total
+            failure = np.log10((1 - np.bincount(at, kept) / whole) / np.maximum(1 - np.bincount(at, low), 1e-12))
+        out = []
+        for r in needed:
+            keys = unpacked_keys(r["keys"], r["n"])
+            values = np.zeros(len(keys))
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                values = np.where(known[at] == keys, failure[at], 0.0)
+            out.append({"block": r["block"], "p": r["p"], "n": r["n"], "weights": packed(values)})
+        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("weights", pa.binary())]))
+
+    return asked.groupBy("p").applyInArrow(run, "block long, p int, n int, weights binary")
+
+
+def _finished(summed: DataFrame, failures: DataFrame) -> DataFrame:
+    """A row per text, with the failure weights added."""
+    kind = summed.schema["ids"].dataType.elementType.simpleString()
+
+    def run(block: pa.Table, weights: pa.Table) -> pa.Table:
+        column = lambda name: block.column(name).combine_chunks()[0].values
+        number = lambda name: column(name).to_numpy(zero_copy_only=False)
+        path, n = number("path").copy(), block.column("n_missing")[0].as_py()
+        if n:
+            places, texts = (unpacked(block.column(x)[0].as_py(), np.int32, n) for x in ("places", "texts"))
+            parts = sorted(weights.to_pylist(), key=lambda r: r["p"])
+            failure = np.concatenate([unpacked(r["weights"], np.float64, r["n"]) for r in parts])
+            path += np.bincount(texts, failure[places], len(path))
+        values = [column("ids"), column("folds"), column("sizes"), pa.array(number("known").astype(np.int64)), column("base"), pa.array(path)]
+        return pa.table(values, ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    names = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    return summed.groupBy("block").cogroup(failures.groupBy("block")).applyInArrow(run, names)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_entries: int = PART_ENTRIES) -> DataFrame:
@@ -199,28 +290,19 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
     rows every token is unknown and has probability one.  Words are told apart
     by 64-bit hashes.
     """
-    words, states, arcs, n, v = train_model(docs, id_col, text_col)
-    entries = v + states.count() + arcs.count()
-    parts = max(1, -(-entries // part_entries))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("id", "text"))
-    names = ["n_known", "root", "path"]
-    total, rest = None, []
-    for part in range(parts):
-        mine = [table.filter(F.pmod("h", F.lit(parts)) == part) if parts > 1 else table for table in (words, states, arcs)]
-        sent = docs.sparkSession.sparkContext.broadcast((_sorted(mine[0], "n"), _sorted(mine[1], "weight"), _sorted(mine[2], "weight")))
-        # Written part by part: a worker holds one part at a time.
-        found = written(rows.select("id", "row", _scorer(sent, n + v)(F.col("text")).alias("s")).select("id", "row", "s.*"), "scores")
-        sent.destroy()
-        if total is None:
-            total = found
-        else:
-            rest.append(found.groupBy("row").agg(*(F.max(c).alias(c) for c in names)))  # rows that repeat have the same sums
-    if rest:
-        added = reduce(DataFrame.union, rest).groupBy("row").agg(*(F.sum(c).alias(f"{c}_more") for c in names))
-        total = total.join(added, "row").withColumns({c: F.col(c) + F.col(f"{c}_more") for c in names})
-    # A word's arcs and counts are in one part each; all others see it as unknown.
-    base = F.col("root") + (F.col("n_tokens") - F.col("n_known")) * float(-np.log10(n + v + 1))
+    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
+    blocks = written(_blocks(rows), "blocks")
+    tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n
+    parts = max(LEAST_PARTS, -(-tokens // part_entries))
+    answers = written(_answered(_asked(blocks, parts)), "answers")
+    v = answers.agg(F.coalesce(F.sum("n_new"), F.lit(0)).alias("v")).first().v
+    learnt = F.aggregate(F.zip_with("folds", "sizes", lambda out, size: F.when(out, F.lit(0)).otherwise(size)), F.lit(0).cast("long"), lambda x, y: x + y)
+    n = blocks.agg(F.coalesce(F.sum(learnt), F.lit(0)).alias("n")).first().n
+    summed = written(_summed(blocks, answers, n + v, parts), "sums")
+    failures = _failures(summed.filter("p >= 0").select("p", "block", "n", "keys", "total", "kept", "low", "missing"))
+    texts = summed.filter("p < 0").select("block", "ids", "folds", "sizes", *_SUMS, "n_missing", "places", "texts")
+    total = _finished(texts, failures)
     return total.select(
-        F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "n_tokens", "n_known",
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("path")).alias("score"),
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known",
+        F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
     )
