@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from veilcheck.llm.words import mixed, pieces, text_hashes
 from veilcheck.session import written
 
-#: Bigrams that occur less often have no arc; their mass goes to the failure arc.
-MIN_ARC_COUNT = 5
+#: Every bigram of the training texts has an arc; discounting smooths those that occur once.
+MIN_ARC_COUNT = 1
 DISCOUNT = 0.75
 #: One of so many parts, by crc32 of the id, is held out.
 FOLDS, HELD_OUT = 7, 2
