@@ -65,12 +65,12 @@ def _features(table: DataFrame) -> DataFrame:
 def labelled_urls(urls: DataFrame, url_col: str = "url", rows: int = TRAIN_ROWS) -> DataFrame:
     """A small labelled table ``(url, label)``: the URLs of least hash, unwanted (1) if a word of the host is in ``UNWANTED``.
 
-    ``rows`` bounds the sample; which URLs it holds does not depend on their order.
+    ``rows`` bounds the sample, which holds a URL once; which URLs it holds does not depend on their order.
     """
     url = F.col(url_col)
     words = F.split(host_and_path(url)[0], "[^a-z]+")
     label = F.arrays_overlap(words, F.array(*map(F.lit, UNWANTED))).cast("double")
-    return urls.filter(url.isNotNull()).select(url.alias("url"), label.alias("label")).orderBy(F.xxhash64("url"), "url").limit(rows)
+    return urls.filter(url.isNotNull()).select(url.alias("url"), label.alias("label")).distinct().orderBy(F.xxhash64("url"), "url").limit(rows)
 
 
 def train(labelled: DataFrame):
