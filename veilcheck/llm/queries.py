@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilcheck.llm import chat, decontaminate, host_quality, language_model, licences, near_dup, packing, sharding, token_counts, url_filter
+from veilcheck.llm import chat, decontaminate, host_quality, language_model, licences, merkle, near_dup, packing, sharding, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,12 +66,17 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document, and the root that its version has."""
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_host_quality, op3_chat_format, op4_best_fit_packing, op5_licence_scan,
-        op6_simhash_components, op7_url_filter, op8_range_sharding, op9_token_counts, op10_lm_scores,
+        op6_simhash_components, op7_url_filter, op8_range_sharding, op9_token_counts, op10_lm_scores, op13_merkle_manifest,
     )
 }
 
-SQL = {"op2_host_quality": host_quality.SQL, "op3_chat_format": chat.SQL, "op5_licence_scan": licences.SQL, "op8_range_sharding": sharding.SQL}
+SQL = {"op2_host_quality": host_quality.SQL, "op3_chat_format": chat.SQL, "op5_licence_scan": licences.SQL, "op8_range_sharding": sharding.SQL, "op13_merkle_manifest": merkle.SQL}
