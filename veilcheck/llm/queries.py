@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilcheck.llm import chat, decontaminate, host_quality, language_model, licences, merkle, near_dup, packing, personal_data, sharding, token_counts, url_filter
+from veilcheck.llm import chat, decontaminate, host_quality, language_model, lexical, licences, merkle, near_dup, packing, personal_data, sharding, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    return lexical.search_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, plain and disguised."""
     return personal_data.find_personal_data(_table(spark, sf_dir, "documents"))
@@ -80,9 +85,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_host_quality, op3_chat_format, op4_best_fit_packing, op5_licence_scan,
-        op6_simhash_components, op7_url_filter, op8_range_sharding, op9_token_counts, op10_lm_scores, op12_personal_data,
-        op13_merkle_manifest,
+        op6_simhash_components, op7_url_filter, op8_range_sharding, op9_token_counts, op10_lm_scores, op11_dual_tree_search,
+        op12_personal_data, op13_merkle_manifest,
     )
 }
 
-SQL = {"op2_host_quality": host_quality.SQL, "op3_chat_format": chat.SQL, "op5_licence_scan": licences.SQL, "op8_range_sharding": sharding.SQL, "op13_merkle_manifest": merkle.SQL}
+SQL = {"op2_host_quality": host_quality.SQL, "op3_chat_format": chat.SQL, "op5_licence_scan": licences.SQL, "op8_range_sharding": sharding.SQL, "op11_dual_tree_search": lexical.SQL, "op13_merkle_manifest": merkle.SQL}
