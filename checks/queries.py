@@ -23,7 +23,7 @@ from veilcheck.operators import advice, context, findings, history, matching, pa
 from veilcheck.operators.catalogue import FULL_ORDER
 from veilcheck.operators.rules import RuleSet, add_custom_rules, only_ru_findings, rules
 from veilcheck.options import ScanOptions
-from veilcheck.plans import scan
+from veilcheck.plans import pieces, scan
 from veilcheck.session import work_dir
 from veilcheck.sinks import reports
 from veilcheck.sources.archives import explode_archives
@@ -722,6 +722,13 @@ def _(spark, sf):
     return _flat(_findings(spark, sf))
 
 
+@query("scan_pieces", f"SELECT {FINDING} FROM findings")
+def _(spark, sf):
+    # Pieces of sixteen lines, so that most of the small test files have several.
+    cut = pieces.cut_files(_files(spark, sf).select("path", "content"), 16)
+    return _flat(pieces.scan_pieces(cut))
+
+
 @query("scan_content_full", f"SELECT {FINDING} FROM full_findings")
 def _(spark, sf):
     return _flat(_findings(spark, sf, rules("full")))

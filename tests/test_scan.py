@@ -250,3 +250,18 @@ def test_long_texts_take_the_same_path(files, path):
     inner = [r for r in rows if 404 < r.line_number <= 404 * 249]
     assert per_part and len(inner) == 248 * len(per_part)
     assert [(r.line_number - 404 * i, r.secret_type, r.score) for i in range(248) for r in inner[i * len(per_part):(i + 1) * len(per_part)]] == per_part * 248
+
+
+def test_many_used_variables(files):
+    """Each variable visits only its own uses: by calls, by assignments, and along one chain."""
+    n = 3000
+    secret = f"'{OTHER}'"
+    bodies = {
+        "calls.py": "".join(f"v{i} = {secret}\nprint(v{i})\n" for i in range(n)),
+        "moves.py": "".join(f"v{i} = {secret}\nw{i} = v{i}\nprint(w{i})\n" for i in range(n)),
+        "chain.py": f"v0 = {secret}\n" + "".join(f"v{i + 1} = v{i}\n" for i in range(n)) + f"print(v{n})\n",
+    }
+    found = scan_content(files(bodies)).groupBy("file").agg(F.count("*").alias("n"), F.sum("taint_count").alias("traces"))
+    assert {(r.file, r.n, r.traces) for r in found.collect()} == {("calls.py", n, n), ("moves.py", n, n), ("chain.py", 1, 1)}
+    (flow,) = file_flows(files({"c.py": bodies["chain.py"]})).first().flows
+    assert [s.variable for s in flow.steps] == [f"v{i}" for i in range(1, n + 1)] and flow.sinks[0].depth == n

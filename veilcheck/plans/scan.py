@@ -21,7 +21,7 @@ from ..operators import matching, paths, taint
 from ..operators.history import history_files
 from ..operators.rules import RuleSet, rules
 from ..options import DEFAULT_OPTIONS, ScanOptions
-from ..schemas import FINDING, FLOWS
+from ..schemas import FINDING, FLOWS, TOUCHES
 from ..session import per_gateway
 
 
@@ -102,11 +102,6 @@ def _hits(rule_set: RuleSet, opts: ScanOptions) -> Column:
     return _scored(_matches(F.col("_lines"), rule_set, opts), text.file_ext("path"))
 
 
-@per_gateway
-def _flows() -> Column:
-    return taint.flows_of("_lines", "path", "_secrets")
-
-
 def detect(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOptions = DEFAULT_OPTIONS,
            with_traces: bool = True) -> DataFrame:
     """Scored matches of ``files(path, content, ...)`` with their traces, before rescoring.
@@ -115,30 +110,37 @@ def detect(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOptions
     the number of traces; ``taint_traces`` writes them out, which costs nothing
     unless it is selected.  ``with_traces=False`` skips the flow analysis.
     """
-    rule_set = rule_set or rules()
     kept = [c for c in files.columns if c != "content"]
-    hits = (
-        files.select(*kept, text.split_lines("content").alias("_lines"))
-        .select(*kept, "_lines", _hits(rule_set, opts).alias("_hits"))
-    )
+    return detect_lines(files.select(*kept, text.split_lines("content").alias("_lines")), rule_set, opts, with_traces)
+
+
+def with_hits(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOptions = DEFAULT_OPTIONS) -> DataFrame:
+    """Adds ``_hits``, the scored matches in ``files(path, _lines, ...)``."""
+    return files.select("*", _hits(rule_set or rules(), opts).alias("_hits"))
+
+
+def detect_lines(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOptions = DEFAULT_OPTIONS,
+                 with_traces: bool = True) -> DataFrame:
+    """``detect`` for files that are arrays of lines, ``files(path, _lines, ...)``."""
+    kept = [c for c in files.columns if c != "_lines"]
+    hits = with_hits(files, rule_set, opts)
     secrets = F.transform(
         F.filter("_hits", lambda h: h["variable"].isNotNull()),
         lambda h: F.struct(h["variable"].alias("variable"), h["line_number"].alias("line_number")),
     )
     if with_traces:
         secrets = F.when(taint.is_flow_file(text.file_ext("path")), secrets).otherwise(F.slice(secrets, 1, 0))
-        traced = hits.select(*kept, "_lines", "_hits", secrets.alias("_secrets")).select(
-            *kept, "_hits", _flows().alias("_flows")
-        )
+        traced = taint.with_flows(hits.select(*kept, "_lines", "_hits", secrets.alias("_secrets")))
     else:
-        traced = hits.select(*kept, "_hits", F.array().cast(FLOWS).alias("_flows"))
+        traced = hits.withColumns({"_flows": F.array().cast(FLOWS), "_touches": F.array().cast(TOUCHES)})
 
     def counted(h):
-        return F.struct(h.alias("hit"), taint.trace_count(F.col("_flows"), h["line_number"]).alias("taint_count"))
+        return F.struct(h.alias("hit"), taint.trace_count(F.col("_touches"), h["line_number"]).alias("taint_count"))
 
-    return traced.select(*kept, "_flows", F.inline(F.transform("_hits", counted))).select(
+    return traced.select(*kept, "_flows", "_touches", F.inline(F.transform("_hits", counted))).select(
         *kept, "hit.*", "taint_count",
-        taint.traces_at(F.col("_flows"), F.col("path"), F.col("hit.line_number")).alias("taint_traces"),
+        taint.traces_through(F.col("_flows"), F.col("_touches"), F.col("path"), F.col("hit.line_number")).alias(
+            "taint_traces"),
     )
 
 
@@ -172,7 +174,12 @@ def scan_content(files: DataFrame, rule_set: RuleSet | None = None, opts: ScanOp
     if "source" not in files.columns:
         files = files.withColumn("source", F.lit("current"))
     others = [c for c in files.columns if c not in ("path", "content", "source")]
-    rated = rescore(detect(files, rule_set, opts, with_traces), opts)
+    return as_findings(detect(files, rule_set, opts, with_traces), others, opts)
+
+
+def as_findings(hits: DataFrame, others: list[str], opts: ScanOptions = DEFAULT_OPTIONS) -> DataFrame:
+    """Findings of detected matches, after the other columns."""
+    rated = rescore(hits, opts)
     stored = {
         "file": F.col("path"), "line_content": text.rstrip("line"), "matched_value": text.truncate("value", fv.VALUE_LIMIT),
     }

@@ -10,6 +10,8 @@ TRACES = f"array<{TRACE}>"
 SINK = "struct<sink_type:string,sink_line:int,sink_content:string,depth:int>"
 FLOW = f"struct<variable:string,sources:array<struct<ord:int,line:int,own:int>>,steps:array<{STEP}>,sinks:array<{SINK}>>"
 FLOWS = f"array<{FLOW}>"
+# Which flows (by position) start at a line or pass there, and how many of their traces do.
+TOUCHES = "array<struct<line:int,flow:int,n:int>>"
 
 # Columns of a finding.  rule_ord and match_ord keep the order of detection.
 FINDING = [
