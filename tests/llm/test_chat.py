@@ -93,3 +93,23 @@ def test_a_vocabulary_too_large_is_refused(spark, monkeypatch):
     monkeypatch.setattr(chat, "MAX_VOCABULARY_BYTES", 10)
     with pytest.raises(ValueError, match="at most 10"):
         read_ranks(spark)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \t", " "])
+def test_long_runs_of_blanks(spark, ranks, run):
+    text = "a" + run * (5_000_000 // len(run)) + "b"
+    rows = [(1, 0, "user", text), (1, 1, "assistant", text[:100_000])]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (row,) = digests(format_chats(table, ranks), ranks).collect()
+    assert row.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+    assert (row.loss_chars, row.loss_sha256) == (100_000, hashlib.sha256(text[:100_000].encode()).hexdigest())
+
+
+def test_vocabularies_of_one_size_are_told_apart(spark, ranks):
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    plain = {bytes([i]): i for i in range(256)}
+    turned = {bytes([i]): 255 - i for i in range(256)}
+    assert chat.encode(chat._encoding(Sent(plain)), "a") == [97] and chat.encode(chat._encoding(Sent(turned)), "a") == [158]

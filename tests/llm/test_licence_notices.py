@@ -98,3 +98,21 @@ def test_each_rule_fires_on_its_sentences(spark):
 def test_other_versions_are_not_taken(spark):
     docs = [(1, MPL.replace("v. 2.0", "v. 1.1")), (2, "MIT\n\n2.0\n\nlicence"), (3, "SPDX-License-Identifier: GPL-2.0")]
     assert scan_licences(spark.createDataFrame(docs, DOCS)).collect() == []
+
+
+@pytest.mark.parametrize("holder", [
+    "Neither the name of the University of Somewhere nor the names of its contributors",
+    "Neither the name of ACME, Inc. nor the names of any contributors", "Neither the names of the authors nor the names of contributors",
+    "The name of the author",
+])
+def test_bsd_3_of_any_holder(spark, holder):
+    may = "may not be" if holder.startswith("The") else "may be"
+    text = BSD.split("3. ")[0] + f"3. {holder} {may} used to endorse or promote products derived from this\n   software without specific prior written permission.\n"
+    docs = [(0, text), (1, unwrapped(text)), (2, commented(text, "#"))]
+    got = {(r.doc_id, r.licence) for r in scan_licences(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {(i, "BSD-3-Clause") for i in range(3)}
+
+
+def test_very_long_text(spark):
+    docs = [(0, "word " * 600_000 + "\n\n" + BSD), (1, "x" * 3_000_000)]
+    assert {(r.doc_id, r.licence) for r in scan_licences(spark.createDataFrame(docs, DOCS)).collect()} == {(0, "BSD-3-Clause")}

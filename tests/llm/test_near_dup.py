@@ -143,3 +143,34 @@ def test_a_third_of_all_rows_alike(spark):
     docs = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text again").otherwise(F.repeat(F.concat(F.lit(" w"), F.col("id")), 5)).alias("text"))
     found = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
     assert all(found[i] == 0 for i in range(0, 900, 3))
+
+
+def test_an_id_with_two_texts_leaves_a_row_of_each_group(spark):
+    a, b, c = "one two three four five", "six seven eight nine ten", "others altogether in here now"
+    rows = [(1, a), (5, a), (5, b), (7, b), (5, b), (9, c), (9, c), (None, a)]
+    kept = [(r.doc_id, r.text) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (5, b), (9, c), (None, a)], key=str)
+
+
+def test_dense_shards_of_odd_and_even_distances(spark):
+    import numpy as np
+
+    from veilcheck.llm.near_dup import _dense_links
+
+    rng = np.random.default_rng(5)
+    prints = [int(p) ^ sum(1 << int(b) for b in rng.choice(12, rng.integers(0, 5), replace=False)) for p in rng.integers(0, 1 << 62, 6) for _ in range(25)]
+    table = spark.createDataFrame([(p, 0) for p in prints], "fp long, shard int")
+    for max_bits in (0, 1, 2, 3):
+        roots = {p: p for p in prints}
+
+        def root(p):
+            while roots[p] != p:
+                p = roots[p]
+            return p
+
+        for row in _dense_links(table, max_bits).collect():
+            assert row.b < row.a and bin(row.a ^ row.b).count("1") <= max_bits
+            roots[root(row.a)] = root(row.b)
+        for x in set(prints):
+            for y in set(prints):
+                assert bin(x ^ y).count("1") > max_bits or root(x) == root(y)

@@ -63,15 +63,32 @@ def read_ranks(spark: SparkSession, path: str = VOCABULARY) -> Broadcast:
     return spark.sparkContext.broadcast({base64.b64decode(entry): int(rank) for entry, rank in pairs})
 
 
-_READY: dict[int, tiktoken.Encoding] = {}
+#: Tokenizers of a Python worker, each with the vocabulary that it was made of; the latest few.
+_READY: list[tuple[dict, tiktoken.Encoding]] = []
+_MOST_READY = 4
 
 
 def _encoding(ranks: Broadcast) -> tiktoken.Encoding:
-    """The tokenizer of a Python worker, made when first needed."""
-    size = len(ranks.value)
-    if size not in _READY:
-        _READY[size] = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
-    return _READY[size]
+    """The tokenizer of a vocabulary, made when first needed."""
+    for vocabulary, encoding in _READY:
+        if vocabulary is ranks.value:
+            return encoding
+    _READY.append((ranks.value, tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})))
+    del _READY[:-_MOST_READY]
+    return _READY[-1][1]
+
+
+#: The split pattern's stack grows with a run of blanks; longer runs are encoded in parts.
+_LONG_BLANKS = re.compile(r"\s{4096}(?=\s)")
+
+
+def encode(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """The tokens of a text without any meaning of control strings."""
+    tokens, done = [], 0
+    for cut in _LONG_BLANKS.finditer(text):
+        tokens += encoding.encode_ordinary(text[done : cut.end()])
+        done = cut.end()
+    return tokens + encoding.encode_ordinary(text[done:]) if done else encoding.encode_ordinary(text)
 
 
 def reserved(ranks: Broadcast) -> tuple[int, int, int, int]:
@@ -84,7 +101,7 @@ def _encode(column: Column, ranks: Broadcast) -> Column:
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
         encoding = _encoding(ranks)
-        return pa.array([encoding.encode_ordinary(escape(text or "")) for text in texts.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([encode(encoding, escape(text or "")) for text in texts.to_pylist()], pa.list_(pa.int32()))
 
     return run(column)
 
@@ -159,6 +176,9 @@ def format_chats(
     Turns are ordered by their number (null first), then by role and text, so
     repeated rows are turns of their own.  A null text is empty, a null role
     has no name, and all rows without a conversation id are one conversation.
+    Ids are whole numbers.  A text of any length is encoded whole, runs of more
+    than 4,096 blanks in parts.  Other columns take no part, and an empty table
+    has no conversations.
     Texts are encoded where they lie; a conversation, which is one row of the
     result, is put together in one task, other conversations of the task are
     not held.

@@ -131,11 +131,13 @@ RULES = (
 GATE = "licens|copyright|redistribut|warrant|free software|unencumbered|mpl|^(2 0|mit|apache 2 0|bsd [23] clause|gpl 3 0 or later)$"
 #: A sentence without bearing on the order: a copyright line, a list number, or an address cut off at its "//".
 FILLER = "^(copyright .*|c [0-9]{4}.*|all rights reserved|[a-z0-9]{0,2}|http|(www )?apache org licenses license 2 0( txt| html)?|(www )?mozilla org mpl 2 0)$"
+#: The sentence that names the holder reads alike whoever that is; a name with a full stop ends it early.
+NAMES = "^(neither the names? of .*|the names? of (the )?(author|authors|copyright holder|copyright holders|contributors) may not be used to endorse or promote products derived from this software without (specific )?prior written permission)$"
 _END = r"([.!?;:])"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: One letter for each sentence, and the letters of each rule.
-LETTERS = dict(zip(SENTENCES, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", strict=False))
+#: One letter for each sentence, from a range that Unicode leaves to private use, and the letters of each rule.
+LETTERS = dict(zip(SENTENCES, map(chr, range(0xE000, 0xE000 + len(SENTENCES))), strict=True))
 CODES = ["".join(LETTERS[s] for s in sentences) for _, _, sentences in RULES]
 
 
@@ -157,7 +159,7 @@ def letters(found: Column) -> Column:
 
     def letter(sentence: Column) -> Column:
         plain = normalised(sentence)
-        return F.coalesce(F.try_element_at(known, plain), F.when(plain.rlike(FILLER), "").otherwise("."))
+        return F.coalesce(F.try_element_at(known, plain), F.when(plain.rlike(NAMES), LETTERS["bsd-names"]).when(plain.rlike(FILLER), "").otherwise("."))
 
     return F.array_join(F.transform(found, letter), "")
 
@@ -167,7 +169,9 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``n_found`` counts how often the rule is met, in the reading (by lines or
     joined) that has it more often.  Null and empty texts hold nothing; a
-    repeated row yields its rows again; a null id stays null.  No row is moved.
+    repeated row yields its rows again; a null id stays null; a text of any
+    length is read whole; of rules that fit at one place the first counts; an
+    empty table has no rows, and other columns take no part.  No row is moved.
     """
     text = F.col("text")
     # An address is read alike with https, and a tag with no blank after its colon like one with a blank.
@@ -189,7 +193,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _sql() -> str:
     values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
-    code = lambda column: f"regexp_extract_all(array_to_string(list_transform({column}, lambda s: coalesce(known[s], CASE WHEN regexp_matches(s, '{FILLER}') THEN '' ELSE '.' END)), ''), '({'|'.join(CODES)})')"
+    code = lambda column: f"regexp_extract_all(array_to_string(list_transform({column}, lambda s: coalesce(known[s], CASE WHEN regexp_matches(s, '{NAMES}') THEN '{LETTERS["bsd-names"]}' WHEN regexp_matches(s, '{FILLER}') THEN '' ELSE '.' END)), ''), '({'|'.join(CODES)})')"
     plain = lambda cut, mark: f"list_transform(string_split({cut}, {mark}), lambda s: trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')))"
     return rf"""
 WITH m AS (SELECT MAP([{", ".join(f"'{s}'" for s in SENTENCES.values())}], [{", ".join(f"'{x}'" for x in LETTERS.values())}]) AS known),

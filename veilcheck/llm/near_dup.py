@@ -215,17 +215,19 @@ def _stars(max_bits: int):
 def _dense_links(table: DataFrame, max_bits: int) -> DataFrame:
     """Links of shards that no radius divides, without holding one in a task.
 
-    Two fingerprints are within an even ``max_bits`` exactly if both reach a
-    common value by half as many flips, so each goes to all values that it
-    reaches, and the few that meet at a value form a star.
+    Two fingerprints are within ``max_bits`` exactly if the one reaches some
+    value by half as many flips, rounded down, and the other by the rest.  Each
+    goes to all values that it reaches; at a value, all are linked to one that
+    reaches it by the fewer flips.
     """
-    if max_bits % 2:
-        return table.groupBy("shard").applyInArrow(_stars(max_bits), "a long, b long")
-    flips = [sum(1 << b for b in bits) for k in range(max_bits // 2 + 1) for bits in combinations(range(64), k)]
-    masks = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in flips))
-    reached = table.select("fp").distinct().select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
-    least = F.min("fp").over(Window.partitionBy("key"))
-    return reached.select(F.col("fp").alias("a"), least.alias("b")).filter("a <> b").distinct()
+    near = max_bits // 2
+    signed = lambda bits: (m := sum(1 << b for b in bits)) - (1 << 64 if m >> 63 else 0)
+    masks = [F.struct(F.lit(signed(bits)).alias("mask"), F.lit(k <= near).alias("near")) for k in range(max_bits - near + 1) for bits in combinations(range(64), k)]
+    reached = table.select("fp").distinct().select("fp", F.explode(F.array(*masks)).alias("m"))
+    reached = reached.select("fp", F.col("m.near").alias("near"), F.col("fp").bitwiseXOR(F.col("m.mask")).alias("key"))
+    center = F.min(F.when(F.col("near"), F.col("fp"))).over(Window.partitionBy("key"))
+    met = reached.select("fp", center.alias("center")).filter("fp <> center")
+    return met.select(F.greatest("fp", "center").alias("a"), F.least("fp", "center").alias("b")).distinct()
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -262,6 +264,10 @@ def contract(edges: DataFrame) -> DataFrame:
 # Documents
 
 
+def _hexed(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
 ) -> DataFrame:
@@ -283,7 +289,7 @@ def near_duplicates(
         prints.join(linked.join(least, "b").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")),
         "members",
     )
-    return own.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(of, "fp").select(F.col("id").alias(id_col), _hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def _marked(ids: DataFrame, id_col: str) -> Column:
@@ -307,17 +313,24 @@ def _marked(ids: DataFrame, id_col: str) -> Column:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without copies: of each component, the one with the smallest id stays.
 
-    All columns are kept.  Of rows that repeat an id, one stays.  Rows without
-    an id cannot be told apart and all stay.  Texts stay where they lie unless
-    their id's bucket has an id that may go; only those are joined exactly.
+    All columns are kept.  A row stays if its component is named after its id;
+    of several such rows with one id, one stays.  So an id that repeats with
+    different texts leaves one row of each of their components.  Rows without
+    an id cannot be told apart and all stay.  Null and empty texts are copies of
+    each other; texts of any length are read whole; an empty table gives an
+    empty one.  Texts stay where they lie unless their id's bucket has an id
+    that may go; only those are joined exactly.
     """
     found = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).isNotNull())
-    own = found.groupBy(id_col).agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
-    own = written(own.filter((F.col("least") != F.col(id_col)) | (F.col("rows") > 1)), "verdicts")
-    repeated = own.filter(F.col("least") == F.col(id_col)).select(id_col)
+    own = found.groupBy(id_col).agg(F.max(F.col("component_id") == F.col(id_col)).alias("names"), F.count("*").alias("rows"))
+    own = written(own.filter(~F.col("names") | (F.col("rows") > 1)), "verdicts")
+    repeated = own.filter("names").select(id_col)
     doubtful = _marked(own, id_col)
     kept = docs.filter(~doubtful).unionByName(docs.filter(doubtful).join(own.select(id_col), id_col, "left_anti").select(docs.columns))
     if not repeated.isEmpty():
-        again = docs.filter(doubtful).join(repeated, id_col, "left_semi").dropDuplicates([id_col])
+        # Which of an id's rows: those whose fingerprint belongs to the component of that name.
+        right = written(found.filter(F.col("component_id") == F.col(id_col)).join(repeated, id_col, "left_semi").select(id_col, F.col("fingerprint").alias("_fp")).distinct(), "right")
+        again = docs.filter(doubtful).join(repeated, id_col, "left_semi").withColumn("_fp", _hexed(fingerprint_column(F.col(text_col), SHINGLE_WORDS)))
+        again = again.join(right, [id_col, "_fp"], "left_semi").dropDuplicates([id_col])
         kept = kept.unionByName(again.select(docs.columns))
     return kept
