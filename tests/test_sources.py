@@ -1,5 +1,6 @@
 import io
 import os
+import warnings
 import zipfile
 
 import pytest
@@ -166,3 +167,34 @@ def test_targets(spark, url, kind, name):
         # The host is compared as written.
         kind, name = "file", "a"
     assert (row.source_kind, row.file_name) == (kind, name)
+
+
+@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA])
+def test_one_archive_is_unpacked_by_many_tasks(spark, tmp_path, method):
+    texts = {f"d{i % 7}/f{i}.py": f"x = {i}\r\n" * (i % 50) for i in range(1000)}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", method) as zf:
+        for name, text in texts.items():
+            zf.writestr(name, text)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            zf.writestr("d1/f1.py", "later")
+        zf.writestr("node_modules/x.py", "skipped")
+        zf.writestr("logo.png", b"\x89")
+    want = sorted([(n, t.replace("\r\n", "\n")) for n, t in texts.items() if n != "d1/f1.py"] + [("d1/f1.py", "later")] * 2)
+    found = read_archives(spark, str(tmp_path / "a.zip"), task_bytes=1 << 12)
+    assert sorted((r.path, r.content) for r in found.collect()) == want
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+    table = spark.createDataFrame([("a.zip", bytearray((tmp_path / "a.zip").read_bytes()))], "archive string, bytes binary")
+    for tasks in (None, 5):
+        assert sorted((r.path, r.content) for r in explode_archives(table, tasks=tasks).collect()) == want
+
+
+def test_damaged_and_encrypted_members_fail(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as zf:
+        zf.writestr("a.py", "hello there")
+    raw = bytearray((tmp_path / "a.zip").read_bytes())
+    for at, value in ((raw.index(b"hello"), b"j"), (raw.index(b"PK\x01\x02") + 8, b"\x01")):
+        bad = bytearray(raw)
+        bad[at : at + 1] = value
+        with pytest.raises(Exception, match="CRC|encrypted"):
+            explode_archives(spark.createDataFrame([("a.zip", bad)], "archive string, bytes binary")).collect()
