@@ -937,6 +937,26 @@ def _(spark, sf):
     return line_stream.session_verdicts(_stream_table(spark, sf))
 
 
+@query("st_2_ordered_verdicts", "SELECT session_id, seq, verdict FROM stream_verdicts")
+def _(spark, sf):
+    # Lines in files without any order, and then one line of a later time, which lets the watermark pass them all.
+    folder, provider = work_dir(spark, "shuffled-lines"), "spark.sql.streaming.stateStore.providerClass"
+    lines = _stream_table(spark, sf).withColumn("at", F.timestamp_seconds(F.col("seq") + 10 * 86400))
+    lines.repartition(12, F.xxhash64("session_id", "seq", "line")).write.parquet(folder)
+    last = lines.agg(F.timestamp_seconds(F.max("seq") + 12 * 86400).alias("at")).select(
+        F.lit(-1).cast("long").alias("session_id"), F.lit(0).alias("seq"), F.lit(fv.STREAM_START).alias("line"), "at"
+    )
+    last.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 5).parquet(folder)
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, line_stream.ROCKSDB)
+    try:
+        events = _drained(spark, line_stream.ordered_events(stream, "at", "1 day"), "ordered")
+    finally:
+        spark.conf.set(provider, before)
+    return events.filter("kind = 'verdict'").select("session_id", "seq", F.col("pattern").alias("verdict"))
+
+
 @query("st_3_scan_stream", f"SELECT {FINDING} FROM findings")
 def _(spark, sf):
     arriving = _as_stream(spark, _files(spark, sf).select("path", "content"), "files")

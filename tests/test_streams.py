@@ -1,3 +1,8 @@
+import random
+import time
+from datetime import datetime, timedelta
+
+import pytest
 from pyspark.sql import functions as F
 
 from tests import corpus
@@ -81,3 +86,32 @@ def test_file_stream_drops_repeats(spark, files, tmp_path):
     drained(spark, read(), tmp_path)
     texts.write.mode("append").parquet(str(tmp_path / "in"))
     assert drained(spark, read(), tmp_path).count() == len(corpus.FINDINGS)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_in_any_order_across_triggers(spark, tmp_path, seed):
+    """Every line in a trigger of its own, shuffled, gives the verdicts of the table."""
+    source, rng = str(tmp_path / "in"), random.Random(seed)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", line_stream.ROCKSDB)
+    table = spark.createDataFrame(LINES, SCHEMA)
+    rows = [(*r, datetime(2026, 1, 1) + timedelta(seconds=r[1])) for r in LINES]
+    rng.shuffle(rows)
+    # A line of another session, hours later, lets the watermark pass all others.
+    for part in (rows[:6], rows[6:12], rows[12:] + rows[:2], [(9, 0, "CMD:SCAN_END", datetime(2026, 1, 2))]):
+        spark.createDataFrame(part, SCHEMA + ", at timestamp").coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.05)
+    stream = spark.readStream.schema(SCHEMA + ", at timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    try:
+        out = drained(spark, line_stream.ordered_events(stream, "at"), tmp_path).collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted((r.session_id, r.seq, r.pattern) for r in out if r.kind == "verdict") == VERDICTS
+    assert sorted((r.session_id, r.seq, r.pattern, r.line) for r in out if r.kind == "alarm") == ALARMS
+    assert sorted(map(tuple, line_stream.session_verdicts(table).collect())) == VERDICTS
+
+
+def test_ordered_events_ask_for_their_state_store(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA + ", at timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA + ", at timestamp").parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="RocksDB"):
+        line_stream.ordered_events(stream, "at")

@@ -7,11 +7,12 @@ marker yields the session's verdict.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
@@ -22,8 +23,8 @@ from ..session import checkpointed
 EVENT_SCHEMA = "session_id long, seq int, kind string, pattern string, line string"
 
 
-def _signals(lines: DataFrame) -> DataFrame:
-    """Markers and alarm candidates; all other lines end here, before any shuffle."""
+def _signals(lines: DataFrame, *more: Column) -> DataFrame:
+    """Markers and alarm candidates, with more columns; all other lines end here, before any shuffle."""
     line = text.strip("line")
     kind = (
         F.when(line == fv.STREAM_START, "start")
@@ -33,7 +34,7 @@ def _signals(lines: DataFrame) -> DataFrame:
     return lines.select(
         "session_id", "seq", kind.alias("kind"),
         F.when(kind == "alarm", labels.alarm_pattern(line)).alias("pattern"),
-        F.when(kind == "alarm", line).alias("line"),
+        F.when(kind == "alarm", line).alias("line"), *more,
     ).filter("kind is not null")
 
 
@@ -85,27 +86,36 @@ def session_verdicts(lines: DataFrame) -> DataFrame:
     return ends.join(alarmed, ["session_id", "opened"], "left").select("session_id", "seq", verdict.alias("verdict"))
 
 
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One trigger's signals of a session, in sequence; state is (scanning, alarmed)."""
-    scanning, alarmed = state.get if state.exists else (False, False)
-    # Only signals get here, and the source's options (such as maxFilesPerTrigger) limit a trigger's share of them.
-    signals = pd.concat(list(batches)).sort_values("seq", kind="stable")
+_EVENT_COLUMNS = ["session_id", "seq", "kind", "pattern", "line"]
+
+
+def _judged(session, signals: Iterable[tuple], scanning: bool, alarmed: bool) -> tuple[list[tuple], tuple[bool, bool]]:
+    """The events of signals ``(seq, kind, pattern, line)`` in order, and the flags after them."""
     out = []
-    for seq, kind, pattern, line in signals[["seq", "kind", "pattern", "line"]].itertuples(index=False):
+    for seq, kind, pattern, line in signals:
         if kind == "start":
             scanning, alarmed = True, False
         elif kind == "end":
-            out.append((key[0], seq, "verdict", fv.VERDICT_ALARM if alarmed else fv.VERDICT_CLEAN, None))
+            out.append((session, seq, "verdict", fv.VERDICT_ALARM if alarmed else fv.VERDICT_CLEAN, None))
             scanning, alarmed = False, False
         elif scanning:
             alarmed = True
-            out.append((key[0], seq, "alarm", pattern, line))
-    state.update((scanning, alarmed))
-    yield pd.DataFrame(out, columns=["session_id", "seq", "kind", "pattern", "line"])
+            out.append((session, seq, "alarm", pattern, line))
+    return out, (scanning, alarmed)
+
+
+def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One trigger's signals of a session, in sequence; state is (scanning, alarmed)."""
+    # Only signals get here, and the source's options (such as maxFilesPerTrigger) limit a trigger's share of them.
+    signals = pd.concat(list(batches)).sort_values("seq", kind="stable")
+    rows = signals[_EVENT_COLUMNS[1:]].itertuples(index=False)
+    out, flags = _judged(key[0], rows, *(state.get if state.exists else (False, False)))
+    state.update(flags)
+    yield pd.DataFrame(out, columns=_EVENT_COLUMNS)
 
 
 def session_events(stream: DataFrame) -> DataFrame:
-    """Alarms and verdicts of a stream of lines, in one stateful pass.
+    """Alarms and verdicts of a stream of lines that arrive in order, in one stateful pass.
 
     A session may span triggers; its state is two flags.  Rows: ``kind`` is
     ``alarm`` (with pattern and line) or ``verdict`` (with the verdict as pattern).
@@ -113,3 +123,78 @@ def session_events(stream: DataFrame) -> DataFrame:
     return _signals(stream).groupBy("session_id").applyInPandasWithState(
         _advance, EVENT_SCHEMA, "scanning boolean, alarmed boolean", "append", GroupStateTimeout.NoTimeout
     )
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class _InOrder(StatefulProcessor):
+    """Signals of a session, put in order before they are judged.
+
+    A signal waits until the watermark has passed it, so that all before it have
+    come.  State: the flags, the waiting signals by time and sequence, and the
+    time of the next timer.  A timer judges what is due and sets the next.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.flags = handle.getValueState("flags", "scanning boolean, alarmed boolean")
+        self.waiting = handle.getMapState("waiting", "at long, seq int", "kind string, pattern string, line string")
+        self.next = handle.getValueState("next", "at long")
+
+    def _wake_at(self, at: int) -> None:
+        planned = self.next.get()[0] if self.next.exists() else None
+        if planned is None or at < planned:
+            if planned is not None:
+                self.handle.deleteTimer(planned)
+            self.handle.registerTimer(at)
+            self.next.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        earliest = None
+        for batch in rows:
+            for at, *signal in batch[["at", "seq", "kind", "pattern", "line"]].itertuples(index=False):
+                seq, *rest = signal
+                self.waiting.updateValue((int(at), int(seq)), tuple(rest))
+                earliest = int(at) if earliest is None else min(earliest, int(at))
+        if earliest is not None:
+            self._wake_at(earliest)
+        yield pd.DataFrame(columns=_EVENT_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator())
+        due = [w for w in waiting if w[0][0] <= now]
+        flags = self.flags.get() if self.flags.exists() else (False, False)
+        out, flags = _judged(key[0], ((seq, *signal) for (_, seq), signal in due), *flags)
+        self.flags.update(flags)
+        for place, _ in due:
+            self.waiting.removeKey(place)
+        self.next.clear()
+        if len(due) < len(waiting):
+            self._wake_at(waiting[len(due)][0][0])
+        yield pd.DataFrame(out, columns=_EVENT_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_events(stream: DataFrame, event_time: str, delay: str = "1 hour") -> DataFrame:
+    """``session_events`` of a stream whose lines may arrive in any order.
+
+    Lines carry the time they were written, ``event_time``, which does not fall
+    as ``seq`` rises.  A line may come up to ``delay`` later than any that was
+    written after it; what comes later still is dropped, as the watermark says.
+    A signal is judged once the watermark has passed it.  Lines of one time go
+    by ``seq``; one that is repeated counts once.  What waits of a session is
+    its signals of the last ``delay``.  Sessions without a number are one
+    session; lines without a time or a sequence number are left out.
+
+    The state needs Spark's RocksDB provider, ``spark.sql.streaming.stateStore.providerClass``.
+    """
+    if stream.sparkSession.conf.get(_PROVIDER) != ROCKSDB:
+        raise ValueError(f"set {_PROVIDER} to {ROCKSDB}")
+    signals = _signals(stream.withWatermark(event_time, delay), F.col(event_time).alias("_time")).filter("_time IS NOT NULL AND seq IS NOT NULL")
+    timed = signals.withColumn("at", F.unix_millis("_time"))
+    return timed.groupBy("session_id").transformWithStateInPandas(_InOrder(), EVENT_SCHEMA, "append", "eventTime")
