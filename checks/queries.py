@@ -29,6 +29,7 @@ from veilcheck.sinks import reports
 from veilcheck.sources.archives import explode_archives
 from veilcheck.sources.code_tree import read_code_tree
 from veilcheck.sources.targets import classify_targets
+from veilcheck.sources.tree_source import tree_stream, tree_table
 from veilcheck.streaming import files as file_stream
 from veilcheck.streaming import lines as line_stream
 
@@ -160,9 +161,8 @@ TRACE_TEXT_SQL = """coalesce((SELECT string_agg(l.var || ':' || l.src || ':' ||
 # Sources --------------------------------------------------------------------
 
 
-@query("src_1_code_tree", """
-SELECT path, md5(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM files""")
-def _(spark, sf):
+def _stored_tree(spark, sf) -> str:
+    """The code files written as files below the shared folder."""
     root = Path(work_dir(spark, "tree").removeprefix("file:"))
     if "://" in str(root):
         raise ValueError(f"a file tree needs a folder that all executors have mounted, not {root}")
@@ -177,10 +177,27 @@ def _(spark, sf):
 
     _code(spark, sf).select("path", "content").mapInPandas(store, "path string").write.format("noop").mode(
         "overwrite").save()
-    tree = read_code_tree(spark, str(root))
-    return tree.select(
-        F.expr(f"substring(path, {len(str(root)) + 2})").alias("path"), F.md5("content").alias("digest")
-    )
+    return str(root)
+
+
+def _digests(tree: DataFrame, root: str) -> DataFrame:
+    return tree.select(F.expr(f"substring(path, {len(root) + 2})").alias("path"), F.md5("content").alias("digest"))
+
+
+_TREE_SQL = """
+SELECT path, md5(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM files"""
+
+
+@query("src_1_code_tree", _TREE_SQL)
+def _(spark, sf):
+    root = _stored_tree(spark, sf)
+    return _digests(read_code_tree(spark, root), root)
+
+
+@query("src_1_lazy_tree", _TREE_SQL)
+def _(spark, sf):
+    root = _stored_tree(spark, sf)
+    return _digests(tree_table(spark, root), root)
 
 
 @query("src_2_archives", f"""
@@ -963,6 +980,12 @@ def _(spark, sf):
     return _flat(_drained(spark, file_stream.scan_stream(arriving), "findings"))
 
 
+@query("st_3_tree_stream", _TREE_SQL)
+def _(spark, sf):
+    root = _stored_tree(spark, sf)
+    return _digests(_drained(spark, tree_stream(spark, root, settled=0), "tree-files"), root)
+
+
 # Extensions -----------------------------------------------------------------
 
 EXTRA = ScanOptions(
