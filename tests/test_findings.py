@@ -248,3 +248,38 @@ def test_review_batch(files):
 def test_scan_of_reviewed_files_appends(files):
     found = findings.union_findings(scan_content(files({"a.txt": "x"})), scan_content(files({"b.txt": "y"})))
     assert found.columns == FINDING and found.count() == 0
+
+
+@pytest.mark.parametrize("group", [1, 7, 4096])
+def test_verdicts_of_one_path_in_groups(spark, files, group):
+    """One path with most verdicts, repeated codes, codes that are not there, and line ends of all kinds."""
+    ends = ["\n", "\r\n", "\r", "\x0b", " "]
+    lines = [f"x{i % 40} = call({i % 7})  " for i in range(120)]
+    text = "".join(line + ends[i % 5] for i, line in enumerate(lines))
+    codes = [f"call({i % 9})" if i % 3 else f"x{i} =" for i in range(200)] + [""]
+    rows = [("hot.py", i, "HIGH", None if i % 4 else i, code) for i, code in enumerate(codes)] + [("b.py", 0, "LOW", None, "two"), ("gone.py", 0, "LOW", 9, "z")]
+    verdicts = spark.createDataFrame(rows + rows[:3], "path string, verdict_ord int, severity string, line int, code string")
+    got = review.locate_verdicts(verdicts, files({"hot.py": text, "b.py": "one\ntwo", "c.py": "x"}), group)
+    texts = {"hot.py": lines, "b.py": ["one", "two"]}
+
+    def expected(path, order, severity, line, code):
+        there = texts.get(path, [])
+        first = next((n for n, x in enumerate(there, 1) if code and code in x), 1)
+        number = first if line is None else line
+        return path, order, severity, code, number, there[number - 1].rstrip() if 1 <= number <= len(there) else code
+
+    want = sorted(expected(*r) for r in rows + rows[:3])
+    assert sorted(map(tuple, got.select("path", "verdict_ord", "severity", "code", "line_number", "line_content").collect())) == want
+
+
+def test_documents_as_one_file(table, tmp_path):
+    rows = [finding(file=f"f{i}.py", line=i, kind=f"K{i % 5}", value=f"é{i}") for i in range(500)]
+    for _ in range(2):  # the second time it takes the first one's place
+        reports.write_sarif(table(rows).repartition(9), str(tmp_path / "s.sarif"), one_file=True)
+        reports.write_findings(table(rows).repartition(9), str(tmp_path / "r.json"), one_file=True)
+    reports.write_text(table(rows[:1]), str(tmp_path / "t.txt"), one_file=True)
+    whole = json.loads((tmp_path / "r.json").read_text())
+    assert whole["total"] == len(whole["findings"]) == 500
+    assert len(json.loads((tmp_path / "s.sarif").read_text())["runs"][0]["results"]) == 500
+    assert "Found 1 potential" in (tmp_path / "t.txt").read_text()
+    assert sorted(x.name for x in tmp_path.iterdir() if not x.name.startswith(".")) == ["r.json", "s.sarif", "t.txt"]

@@ -8,11 +8,15 @@ from pyspark.sql.window import Window
 
 from .. import fixed_values as fv
 from ..functions import labels, regex, text
+from ..functions.arrays import count_first
 from ..functions.text import col
 from ..schemas import FINDING, TRACES
+from ..session import written
 
 # Detection order of review findings: after every rule.
 REVIEW_ORD = 1_000_000
+# Verdicts that are searched together, and paths at most that have more.
+VERDICT_GROUP, MOST_LARGE = 4096, 1 << 17
 _NOT_BLANK = regex.java(r"[^\s]")
 _NUMBERED = regex.java(r"^\s*L(\d+)\s*:\s*(.*)\s*$")
 
@@ -96,37 +100,61 @@ def parse_reviews(responses: DataFrame, response: str = "response") -> DataFrame
     )
 
 
-def locate_verdicts(verdicts: DataFrame, files: DataFrame) -> DataFrame:
+def _first_lines(codes: Column, content: Column) -> Column:
+    """``struct<code, line>`` by code: the line on which a text first holds each code, null without one.
+
+    A code has no line end, so it is looked for in the text as a whole.
+    """
+
+    def found(code):
+        at = F.call_function("position", code, content)
+        return F.struct(code.alias("code"), F.when(at > 0, F.size(F.split(F.substring(content, F.lit(1), at - 1), text.LINE_ENDS, -1))).alias("line"))
+
+    return F.sort_array(F.transform(F.array_distinct(codes), found))
+
+
+def locate_verdicts(verdicts: DataFrame, files: DataFrame, group: int = VERDICT_GROUP) -> DataFrame:
     """Adds ``line_number`` and ``line_content`` from the reviewed file.
 
     The line is the one named, else the first that contains the quoted code,
     else line 1.  The content is that line, or the code if there is no such line
     (or no such file).  Texts of files without a review are dropped before any
-    exchange, and a reviewed text is split once for all of its verdicts.
+    exchange.  The verdicts of a path are searched in groups of some ``group``,
+    each with the text, and each code once in a group.  An action: paths with
+    more verdicts than a group are counted, of which there are few.
     """
     others = [c for c in verdicts.columns if c != "path"]
-    reviewed = files.select("path", "content").join(verdicts.select("path").distinct(), "path", "left_semi")
-    by_file = verdicts.groupBy("path").agg(F.collect_list(F.struct(*others)).alias("_verdicts")).join(reviewed, "path", "left")
+    counts = written(verdicts.groupBy("path").agg(F.count("*").alias("_n")), "verdict-counts")
+    # At most MOST_LARGE paths are larger than a group.
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first().n
+    group = max(group, -(-total // MOST_LARGE))
+    parts = F.ceil(F.col("_n") / group)
+    large = F.broadcast(counts.filter(F.col("_n") > group).select("path", parts.alias("_parts")))
+    numbered = verdicts.withColumn("_row", F.monotonically_increasing_id()).join(large, "path", "left")
+    salted = numbered.withColumn("_salt", F.pmod("_row", F.coalesce("_parts", F.lit(1))))
+    by_group = salted.groupBy("path", "_salt").agg(F.collect_list(F.struct(*others)).alias("_verdicts"))
+    salts = counts.select("path", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_salt"))
+    texts = files.select("path", "content").join(salts, "path")
+    grouped = by_group.join(texts, ["path", "_salt"], "left").select(
+        "path", "_verdicts", "content", text.split_lines("content").alias("_lines"),
+        _first_lines(F.transform(F.filter("_verdicts", lambda v: v["line"].isNull() & (v["code"] != "")), lambda v: v["code"]), F.col("content")).alias("_places"),
+    )
 
-    def located(verdict, lines):
-        code = verdict["code"]
-        holding = F.array_position(F.transform(lines, lambda line: line.contains(code)), F.lit(True))
-        found = F.when((code != "") & (holding > 0), holding).otherwise(F.lit(1))
-        return F.struct(verdict.alias("v"), F.coalesce(verdict["line"], found.cast("int")).alias("line_number"))
+    def located(verdict):
+        place = F.get("_places", count_first(F.col("_places"), lambda p: p["code"] < verdict["code"]))
+        found = F.when(place["code"] == verdict["code"], place["line"])
+        return F.struct(verdict.alias("v"), F.coalesce(verdict["line"], found, F.lit(1)).alias("line_number"))
 
-    def with_content(place, lines):
+    def with_content(place):
         number = place["line_number"]
-        content = F.when((number >= 1) & (number <= F.size(lines)), text.rstrip(F.get(lines, number - 1)))
+        content = F.when((number >= 1) & (number <= F.size("_lines")), text.rstrip(F.get("_lines", number - 1)))
         quote = F.substring(place["v"]["code"], 1, fv.REVIEW_QUOTE_LIMIT)
         return F.struct(
             *[place["v"][c].alias(c) for c in others if c != "line"], number.alias("line_number"),
             F.coalesce(content, quote).alias("line_content"),
         )
 
-    def per_file(lines):
-        return F.transform(F.transform("_verdicts", lambda v: located(v, lines)), lambda p: with_content(p, lines))
-
-    return by_file.select("path", F.inline(text.bind(text.split_lines("content"), per_file)))
+    return grouped.select("path", F.inline(F.transform(F.transform("_verdicts", located), with_content)))
 
 
 def review_findings(verdicts: DataFrame, files: DataFrame) -> DataFrame:

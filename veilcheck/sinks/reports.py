@@ -7,6 +7,8 @@ the driver, whatever the number of findings.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -261,21 +263,42 @@ def text_document(findings: DataFrame) -> DataFrame:
     return first.unionByName(text_rows(ranked).select("idx", "value")).unionByName(last)
 
 
-def write_document(document: DataFrame, path: str) -> None:
-    """Writes the lines of a document in order, as range-partitioned text files."""
-    document.orderBy("idx").select("value").write.mode("overwrite").text(path)
+def write_document(document: DataFrame, path: str, one_file: bool = False) -> None:
+    """Writes the lines of a document in order: as range-partitioned text files, or as the one file ``path``.
+
+    One file takes one writer, a task that sorts the lines with what memory it
+    has.  It writes beside the target, and the finished file is moved there, so
+    a task that is run again or a job that fails leaves no half document.
+    """
+    if not one_file:
+        document.orderBy("idx").select("value").write.mode("overwrite").text(path)
+        return
+    spark = document.sparkSession
+    beside = f"{path}.writing-{uuid4().hex[:12]}"
+    document.repartition(1).sortWithinPartitions("idx").select("value").write.text(beside)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, folder = hadoop.Path(path), hadoop.Path(beside)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    written_parts = [f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    if len(written_parts) != 1:
+        raise OSError(f"{beside} has {len(written_parts)} parts; one was written")
+    if store.exists(target):
+        store.delete(target, True)
+    if not store.rename(written_parts[0], target):
+        raise OSError(f"could not move {written_parts[0].toString()} to {path}")
+    store.delete(folder, True)
 
 
-def write_findings(findings: DataFrame, path: str) -> None:
-    write_document(findings_document(findings), path)
+def write_findings(findings: DataFrame, path: str, one_file: bool = False) -> None:
+    write_document(findings_document(findings), path, one_file)
 
 
-def write_sarif(findings: DataFrame, path: str) -> None:
-    write_document(sarif_document(findings), path)
+def write_sarif(findings: DataFrame, path: str, one_file: bool = False) -> None:
+    write_document(sarif_document(findings), path, one_file)
 
 
-def write_text(findings: DataFrame, path: str) -> None:
-    write_document(text_document(findings), path)
+def write_text(findings: DataFrame, path: str, one_file: bool = False) -> None:
+    write_document(text_document(findings), path, one_file)
 
 
 def write_env(alarms: DataFrame, path: str) -> None:
