@@ -1,21 +1,26 @@
-"""Scores of a smoothed bigram model, as a weighted automaton with failure arcs.
+"""Scores of a smoothed bigram model, by a weighted automaton with failure arcs.
 
-Words are states.  From the state of the last token, an arc for the next token
-carries the discounted bigram's log10 probability; where there is none, the
-failure arc (the state's backoff weight) leads to the root, whose arcs carry the
-unigram probabilities.  One pass from left to right sums the weights.
+Every word is a state, and so is the end of a text, where texts begin; the root
+is one more.  An arc leads from a state along a word to that word's state; its
+weight is the discounted bigram's log10 probability.  Where a state has no arc
+for a word, its failure arc leads to the root, which costs the state's backoff
+weight, and the root has an arc for every word.  A text is read from left to
+right, carrying the state and summing weights.
 
 Texts are cut into words once and kept as blocks of some million tokens.  A
 block sends its distinct words and bigrams, sorted by hash, to the parts of the
-automaton, each of which holds a range of hashes; a part adds the counts of all
+model, each of which holds a range of hashes; a part adds the counts of all
 blocks and answers in the order in which it was asked, so that answers need no
 keys.  Each bigram of the training texts is answered with a mark to one block
-alone, which adds it to its state.  Nothing passes through the driver.
+alone, which adds it to its state.  With the backoff weights of its states, a
+block has the part of the automaton that its texts can reach, and runs them
+through it.  Nothing passes through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +45,10 @@ COUNT_AT_ONCE = 1 << 22
 #: The end of a text, which is also the state before its first word.
 END = b""
 
-_WORDS, _PAIRS = 0, 1
+#: Tokens of a text that are read together with others; a part of a text begins in the state before it.
+SEGMENT = 512
+
+_WORDS, _PAIRS, _BACKOFF = 0, 1, 2
 _ASKED = "p int, block long, kind int, n int, keys binary, counts binary"
 _ANSWERED = "block long, p int, kind int, n int, width int, found binary, n_new long"
 
@@ -187,51 +195,92 @@ def _counts(answers: list[dict], kind: int) -> np.ndarray:
     return np.concatenate([unpacked(r["found"], f"u{r['width']}", r["n"]).astype(np.uint64) for r in mine])
 
 
-_SUMMED = "p int, block long, n int, keys binary, total binary, kept binary, low binary, missing boolean"
-_SUMS = ("known", "base", "path")
-
-
-def _summed(blocks: DataFrame, answers: DataFrame, size: int, parts: int) -> DataFrame:
-    """Of each block, sums of its texts without failure weights, then what it adds to states and which states' failure weights it needs."""
-    kind = blocks.schema["ids"].dataType.simpleString()
-    more = f"ids {kind}, folds array<boolean>, sizes array<long>, {', '.join(f'{x} array<double>' for x in _SUMS)}, n_missing long, places binary, texts binary"
-    empty = {"p": -1, "n": 0}
+@dataclass
+class Automaton:
+    """States are numbers of words; the root is the number after them.  Arcs are sorted by the hash of state and word."""
+
+    words: np.ndarray
+    arcs: np.ndarray
+    arc_weights: np.ndarray
+    failure_weights: np.ndarray
+    root_weights: np.ndarray
+
+    @property
+    def root(self) -> int:
+        return len(self.words)
+
+    def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of reading a word in each state, and the states after it."""
+        weights, states, left = np.zeros(len(words)), states.copy(), np.arange(len(words))
+        while len(left):
+            at_root = states[left] == self.root
+            weights[left[at_root]] += self.root_weights[words[left[at_root]]]
+            left = left[~at_root]
+            if not len(left):
+                break
+            keys = arc_keys(self.words[states[left]], self.words[words[left]])
+            at = np.searchsorted(self.arcs, keys)
+            known = np.zeros(len(left), bool)
+            inside = at < len(self.arcs)
+            known[inside] = self.arcs[at[inside]] == keys[inside]
+            weights[left[known]] += self.arc_weights[at[known]]
+            left = left[~known]
+            # No arc: on to the root by the failure arc.
+            weights[left] += self.failure_weights[states[left]]
+            states[left] = self.root
+        return weights, words
+
+    def read(self, tokens: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
+        """The weight of each text, read from left to right from the state ``begin``.
+
+        Texts are read side by side, long ones in parts: after a token the state
+        is that of the token, whatever came before.
+        """
+        sizes = np.diff(np.append(starts, len(tokens)))
+        parts = -(-sizes // SEGMENT)
+        text = np.repeat(np.arange(len(starts)), parts)
+        offset = (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)) * SEGMENT
+        first = starts[text] + offset
+        length = np.minimum(sizes[text] - offset, SEGMENT)
+        states = np.where(offset > 0, tokens[first - 1], begin)
+        order = np.argsort(-length, kind="stable")
+        first, length, states, total = first[order], length[order], states[order], np.zeros(len(order))
+        for i in range(int(length[0]) if len(length) else 0):
+            active = int(np.searchsorted(-length, -i, side="left"))  # those longer than i
+            weights, states[:active] = self.step(states[:active], tokens[first[:active] + i])
+            total[:active] += weights
+        return np.bincount(text[order], total, len(starts))
+
+
+def _model(row: dict, replies: list[dict], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: words, tokens, counts of words, root probabilities, hashes of its bigrams, the first place of each, and their answers."""
+    words, before, tokens = _opened(row)
+    counts, pairs = _counts(replies, _WORDS) >> np.uint64(1), _counts(replies, _PAIRS)
+    keys, first = np.unique(arc_keys(words[before], words[tokens]), return_index=True)
+    return words, tokens, counts, (counts + 1.0) / (size + 1), keys, first, pairs
+
+
+_COLUMNS = ("block", "n_words", "n_tokens", "words", "tokens")
+
+
+def _states(blocks: DataFrame, answers: DataFrame, size: int, parts: int) -> DataFrame:
+    """What each block adds to states (``total`` of a state's count, ``kept`` by its arcs, ``low`` at the root), and whose backoff weights it needs."""
 
     def run(block: pa.Table, answered: pa.Table) -> pa.Table:
-        row = {name: block.column(name)[0].as_py() for name in ("block", "n_words", "n_tokens", "words", "tokens")}
-        words, before, tokens = _opened(row)
-        replies = answered.to_pylist()
-        counts, pairs = _counts(replies, _WORDS) >> np.uint64(1), _counts(replies, _PAIRS)
-        _, first, at = np.unique(arc_keys(words[before], words[tokens]), return_index=True, return_inverse=True)
-        root = (counts + 1.0) / (size + 1)
-        n = (pairs >> np.uint64(1)).astype(np.float64)
-        total = counts.astype(np.float64)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            arc = np.where(n > 0, np.log10((n - DISCOUNT) / total[before[first]]), np.log10(root)[tokens[first]])[at]
-        sizes = block.column("sizes")[0].values.to_numpy(zero_copy_only=False)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        sums = [np.add.reduceat(x, starts) for x in ((counts > 0).astype(np.float64)[tokens], np.log10(root)[tokens], arc)]
-        missing = np.flatnonzero((n == 0)[at])
-        needed, places = np.unique(before[missing], return_inverse=True)
-        texts = np.searchsorted(starts, missing, side="right") - 1
-        out = [empty | {"block": row["block"], "n_missing": len(missing), "places": packed(places.astype(np.int32)) if len(missing) else b"", "texts": packed(texts.astype(np.int32)) if len(missing) else b""}]
-        mine = first[(pairs & np.uint64(1)) > 0]
-        low = np.bincount(before[mine], root[tokens[mine]], len(words))
-        kept = np.bincount(before[mine], n[(pairs & np.uint64(1)) > 0] - DISCOUNT, len(words))
-        for places_of, is_missing in ((np.flatnonzero(kept > 0), False), (needed, True)):
-            keys = words[places_of]
-            for p, cut in _cuts(keys, parts):
-                values = {} if is_missing else {name: packed(x[places_of[cut]]) for name, x in (("total", total), ("kept", kept), ("low", low))}
-                out.append({"p": p, "block": row["block"], "n": cut.stop - cut.start, "keys": packed_keys(keys[cut]), "missing": is_missing} | values)
-        plain = pa.Table.from_pylist(out, pa.schema([("p", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("total", pa.binary()), ("kept", pa.binary()), ("low", pa.binary()), ("missing", pa.bool_())]))
-        rest = pa.Table.from_pylist(out, pa.schema([("n_missing", pa.int64()), ("places", pa.binary()), ("texts", pa.binary())]))
-        for name, values in [*((x, block.column(x).combine_chunks().slice(0, 1)) for x in ("ids", "folds", "sizes")), *((x, pa.array([y], pa.list_(pa.float64()))) for x, y in zip(_SUMS, sums, strict=True))]:
-            plain = plain.append_column(name, pa.concat_arrays([values, pa.nulls(len(out) - 1, values.type)]))
-        for name in rest.column_names:
-            plain = plain.append_column(name, rest.column(name))
-        return plain
-
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"{_SUMMED}, {more}")
+        row = {name: block.column(name)[0].as_py() for name in _COLUMNS}
+        words, tokens, counts, root, _, first, pairs = _model(row, answered.to_pylist(), size)
+        before, total = np.roll(tokens, 1), counts.astype(np.float64)
+        mine = (pairs & np.uint64(1)) > 0
+        n, of, to = (pairs >> np.uint64(1)).astype(np.float64)[mine], before[first[mine]], tokens[first[mine]]
+        low, kept = np.bincount(of, root[to], len(words)), np.bincount(of, n - DISCOUNT, len(words))
+        out = []
+        for places, asked in ((np.flatnonzero(kept > 0), False), (np.arange(len(words)), True)):
+            for p, cut in _cuts(words[places], parts):
+                values = {} if asked else {name: packed(x[places[cut]]) for name, x in (("total", total), ("kept", kept), ("low", low))}
+                out.append({"p": p, "block": row["block"], "n": cut.stop - cut.start, "keys": packed_keys(words[places][cut]), "missing": asked} | values)
+        return pa.Table.from_pylist(out, pa.schema([("p", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("total", pa.binary()), ("kept", pa.binary()), ("low", pa.binary()), ("missing", pa.bool_())]))
+
+    return blocks.select(*_COLUMNS).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "p int, block long, n int, keys binary, total binary, kept binary, low binary, missing boolean")
 
 
 def _failures(asked: DataFrame) -> DataFrame:
@@ -260,24 +309,34 @@ def _failures(asked: DataFrame) -> DataFrame:
     return asked.groupBy("p").applyInArrow(run, "block long, p int, n int, weights binary")
 
 
-def _finished(summed: DataFrame, failures: DataFrame) -> DataFrame:
-    """A row per text, with the failure weights added."""
-    kind = summed.schema["ids"].dataType.elementType.simpleString()
+def _read(blocks: DataFrame, answers: DataFrame, size: int) -> DataFrame:
+    """A row per text: each block builds its part of the automaton and reads its texts."""
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
 
-    def run(block: pa.Table, weights: pa.Table) -> pa.Table:
+    def run(block: pa.Table, answered: pa.Table) -> pa.Table:
+        row, replies = {name: block.column(name)[0].as_py() for name in _COLUMNS}, answered.to_pylist()
+        words, tokens, counts, root, keys, first, pairs = _model(row, replies, size)
+        n = (pairs >> np.uint64(1)).astype(np.float64)
+        some = n > 0
+        arcs = np.log10((n[some] - DISCOUNT) / counts[np.roll(tokens, 1)[first[some]]])
+        model = Automaton(words, keys[some], arcs, _backoff(replies), np.log10(root))
         column = lambda name: block.column(name).combine_chunks()[0].values
-        number = lambda name: column(name).to_numpy(zero_copy_only=False)
-        path, n = number("path").copy(), block.column("n_missing")[0].as_py()
-        if n:
-            places, texts = (unpacked(block.column(x)[0].as_py(), np.int32, n) for x in ("places", "texts"))
-            parts = sorted(weights.to_pylist(), key=lambda r: r["p"])
-            failure = np.concatenate([unpacked(r["weights"], np.float64, r["n"]) for r in parts])
-            path += np.bincount(texts, failure[places], len(path))
-        values = [column("ids"), column("folds"), column("sizes"), pa.array(number("known").astype(np.int64)), column("base"), pa.array(path)]
+        sizes = column("sizes").to_numpy(zero_copy_only=False)
+        starts = np.cumsum(sizes) - sizes
+        # Every text ends with the end token, and begins in its state.
+        score = model.read(tokens.astype(np.int64), starts, int(tokens[-1]))
+        known, base = (np.add.reduceat(x[tokens], starts) for x in ((counts > 0).astype(np.int64), model.root_weights))
+        values = [column("ids"), column("folds"), column("sizes"), pa.array(known), pa.array(base), pa.array(score)]
         return pa.table(values, ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     names = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    return summed.groupBy("block").cogroup(failures.groupBy("block")).applyInArrow(run, names)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, names)
+
+
+def _backoff(answers: list[dict]) -> np.ndarray:
+    """The backoff weights of a block's states, in the order of its words."""
+    mine = sorted((r for r in answers if r["kind"] == _BACKOFF), key=lambda r: r["p"])
+    return np.concatenate([unpacked(r["found"], np.float64, r["n"]) for r in mine])
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_entries: int = PART_ENTRIES) -> DataFrame:
@@ -298,10 +357,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
     v = answers.agg(F.coalesce(F.sum("n_new"), F.lit(0)).alias("v")).first().v
     learnt = F.aggregate(F.zip_with("folds", "sizes", lambda out, size: F.when(out, F.lit(0)).otherwise(size)), F.lit(0).cast("long"), lambda x, y: x + y)
     n = blocks.agg(F.coalesce(F.sum(learnt), F.lit(0)).alias("n")).first().n
-    summed = written(_summed(blocks, answers, n + v, parts), "sums")
-    failures = _failures(summed.filter("p >= 0").select("p", "block", "n", "keys", "total", "kept", "low", "missing"))
-    texts = summed.filter("p < 0").select("block", "ids", "folds", "sizes", *_SUMS, "n_missing", "places", "texts")
-    total = _finished(texts, failures)
+    failures = _failures(written(_states(blocks, answers, n + v, parts), "states"))
+    known = answers.select("block", "p", "kind", "n", "width", "found").unionByName(
+        failures.select("block", "p", F.lit(_BACKOFF).alias("kind"), "n", F.lit(8).alias("width"), F.col("weights").alias("found"))
+    )
+    total = _read(blocks, known, n + v)
     return total.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known",
         F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
