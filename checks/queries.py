@@ -588,7 +588,9 @@ def _(spark, sf):
 
 @query("uni_2_custom_rules", f"SELECT {FINDING} FROM custom_findings")
 def _(spark, sf):
-    return _flat(_findings(spark, sf, add_custom_rules(spark, rules(), o.CUSTOM_RULES)))
+    # The last one would hold a task on any long line, and is left out with a warning.
+    custom = [*o.CUSTOM_RULES, {"name": "Backtracking", "regex": r"(\w+\s?)+=$", "score": 9}]
+    return _flat(_findings(spark, sf, add_custom_rules(spark, rules(), custom)))
 
 
 # Scalars --------------------------------------------------------------------
@@ -802,6 +804,22 @@ def _(spark, sf):
     return reports.sarif_results(findings.deduplicate(_findings(spark, sf)))
 
 
+@query("snk_2_sarif_file", f"{_SARIF} FROM distinct_findings")
+def _(spark, sf):
+    # The one file, read back as one document.
+    path = f"{work_dir(spark, 'report')}.sarif"
+    reports.write_sarif(_findings(spark, sf), path, one_file=True)
+    place = "struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>"
+    result = f"struct<ruleId:string,level:string,message:struct<text:string>,locations:array<{place}>>"
+    document = spark.read.schema(f"runs array<struct<results:array<{result}>>>").option("multiLine", True).json(path)
+    rows = document.select(F.inline("runs")).select(F.inline("results"))
+    at = F.col("locations")[0]["physicalLocation"]
+    return rows.select(
+        F.col("ruleId").alias("rule_id"), "level", F.col("message.text").alias("message"),
+        at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("start_line"),
+    )
+
+
 @query("snk_3_compact_json", """
 SELECT file, line_number AS line, secret_type AS type, severity, score, confidence, matched_value AS value, category,
   source, false AS ai_detection FROM findings""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests import brute
 from veilcheck.functions import regex
+from veilcheck.functions.backtracking import loses_itself
 from veilcheck.operators import matching
 from veilcheck.operators.catalogue import ANY, Rule
 from veilcheck.operators.rules import RuleSet, add_custom_rules, only_ru_findings, ru_names, rules
@@ -137,3 +138,24 @@ def test_index_is_a_literal_in_the_plan(spark):
 def test_matching_needs_no_shuffle(spark):
     df = matching.match_rules(spark.range(10).select(F.lit("a = 1").alias("line")), rules("full"))
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("pattern", "lost"), [
+    (r"(a+)+$", True), (r"(a*)*b", True), (r"([a-z]+)*=", True), (r"(\w+\s?)*$", True), (r"(?:a|ab|b)+c", True),
+    (r"(x+x+)+y", True), (r"(\d+|\w+)+!", True), (r"(.*?,)+x", True),
+    (r"api_key\s*=\s*['\"]([A-Za-z0-9]{16,})['\"]", False), (r"([a-z]+\.)+com", False), (r"(ab|cd)+e", False),
+    (r"(a++)+b", False), (r"(a{1,3}b)+", False), (r"x{1,5}y", False), (r"^\s*(\w+)\s*=\s*(.+)$", False), (r"(?<!x)a", False), (r"", False),
+])
+def test_patterns_that_lose_themselves(pattern, lost):
+    assert loses_itself(pattern) is lost
+
+
+def test_built_in_rules_do_not_lose_themselves():
+    assert [r.name for s in ("core", "full") for r in rules(s) if loses_itself(r.regex)] == []
+
+
+def test_a_custom_rule_that_loses_itself_is_skipped(spark):
+    custom = [{"name": "Bad", "regex": r"([a-z]+)+="}, {"name": "Good", "regex": r"good_([a-z]+)"}]
+    with pytest.warns(UserWarning, match="'Bad' backtracks"):
+        added = add_custom_rules(spark, rules(), custom)
+    assert [r.name for r in added][-1] == "Good" and len(added) == len(rules()) + 1

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import regex
+from ..functions.backtracking import loses_itself
 from . import catalogue
 from .catalogue import ANY, Rule
 
@@ -146,13 +147,18 @@ def add_custom_rules(spark: SparkSession, base: RuleSet, custom: Iterable[dict])
     """Append user rules after the built-in ones.
 
     A rule needs ``name`` and ``regex``; ``score`` and ``category`` have
-    defaults.  Entries that lack either, or whose regex is invalid, are skipped.
+    defaults.  Entries that lack either, whose regex is invalid, or whose regex
+    could hold a task for ever on one line, are skipped, the latter two with a
+    warning.
     A rule named like an earlier one takes that rule's place.
     """
     merged = {r.name: r for r in base}
     for entry in custom:
         if "name" not in entry or "regex" not in entry or not _compiles(spark, entry["name"], entry["regex"]):
             continue
+        if loses_itself(entry["regex"]):
+            warnings.warn(f"regex of custom rule {entry['name']!r} backtracks without bound; skipped", stacklevel=2)
+            continue
         merged[entry["name"]] = Rule(
             entry["name"], entry["regex"], int(entry.get("score", fv.CUSTOM_RULE_SCORE)),
             entry.get("category", fv.CUSTOM_RULE_CATEGORY),
