@@ -81,3 +81,40 @@ def test_empty(spark):
 def test_numbers_are_plain(spark):
     row = pack_sequences(spark.createDataFrame([(1, "ab")], DOCS)).first()
     assert row == (1, 0, 0, 3, 0, LENGTHS[0], 0) and not isinstance(row.bin, np.integer)
+
+
+def slow_pack(sizes, lengths, fixed_cost):
+    """Best fit by looking at every bin each time."""
+    bins, out = [], []
+    for i, size in enumerate(sizes):
+        fitting = [(b["length"] - b["used"], n) for n, b in enumerate(bins) if b["length"] - b["used"] >= size]
+        if fitting:
+            bin_ = min(fitting)[1]
+        else:
+            free = sum(b["length"] - b["used"] for b in bins)
+            spare = max(0, sum(sizes[i + 1 :]) - free)
+            length = min((c for c in lengths if c >= size), key=lambda c: ((c + fixed_cost) / min(c, size + spare), c))
+            bins.append({"length": length, "used": 0})
+            bin_ = len(bins) - 1
+        out.append((bin_, bins[bin_]["used"]))
+        bins[bin_]["used"] += size
+    return [(b, o, min(c for c in lengths if c >= bins[b]["used"])) for b, o in out]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_pack_equals_brute_force(seed):
+    rng = random.Random(seed)
+    lengths = tuple(sorted(rng.sample(range(4, 200), rng.randint(1, 5))))
+    sizes = sorted((rng.randint(1, lengths[-1]) for _ in range(rng.randint(0, 300))), reverse=True)
+    cost = rng.choice([0, 1, 16, 64])
+    assert list(zip(*map(list, pack(sizes, lengths, cost)), strict=True)) == slow_pack(sizes, lengths, cost)
+
+
+def test_documents_equal_brute_force(spark):
+    """One group: the whole table packed by looking at every bin."""
+    rng = random.Random(2)
+    rows = [(i, "x" * rng.randint(0, 40_000)) for i in range(150)]
+    got = pack_sequences(spark.createDataFrame(rows, DOCS), group_pieces=1 << 20).collect()
+    pieces = sorted((-min(LENGTHS[-1], len(t) + 1 - start), i, start // LENGTHS[-1]) for i, t in rows for start in range(0, len(t) + 1, LENGTHS[-1]))
+    want = slow_pack([-n for n, _, _ in pieces], LENGTHS, packing.FIXED_COST)
+    assert sorted((r.doc_id, r.piece, r.bin, r.bin_offset, r.bin_length) for r in got) == sorted((i, p, *w) for (_, i, p), w in zip(pieces, want, strict=True))

@@ -66,3 +66,13 @@ def test_empty_and_large_vocabulary(spark, monkeypatch):
     monkeypatch.setattr(token_counts, "MAX_VOCABULARY_BYTES", 10)
     with pytest.raises(ValueError, match="at most 10"):
         read_vocabulary(spark)
+
+
+def test_long_words_are_not_remembered():
+    from veilcheck.llm import token_counts
+    from veilcheck.llm.token_counts import Automaton, Counts
+
+    counts = Counts(Automaton([b" ", b"a", b"aa", b"b", b" a"]))
+    words = [b"a" * n for n in range(1, 200)] + [b"b" * 5000]
+    assert [counts[w] for w in words] == [counts.automaton.count(b" " + w) for w in words]
+    assert max(map(len, counts)) == token_counts.KNOWN_BYTES

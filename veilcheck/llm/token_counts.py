@@ -23,8 +23,8 @@ from veilcheck.llm.words import pieces
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A vocabulary is sent to all tasks; a larger one is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Words whose counts a task remembers at once.
-KNOWN_WORDS = 1 << 19
+#: Words whose counts a task remembers at once, and bytes of a word that is remembered; a longer one is read each time.
+KNOWN_WORDS, KNOWN_BYTES = 1 << 19, 64
 _NOWHERE = -1
 
 
@@ -91,6 +91,8 @@ class Counts(dict):
         self.automaton = automaton
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > KNOWN_BYTES:
+            return self.automaton.count(b" " + word)
         if len(self) >= KNOWN_WORDS:
             self.clear()
         found = self[word] = self.automaton.count(b" " + word)
@@ -141,8 +143,9 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, ``n_bytes`` (UTF-8), ``n_words`` and ``n_tokens``.
 
     Every word is cut up with a blank before it; words lie between ASCII
-    blanks.  Null and empty texts have no tokens.  Repeated rows yield a row
-    each, a null id stays null, other columns are left out.
+    blanks.  Null and empty texts have no tokens.  A text or word of any length
+    is read whole, in time in proportion.  Repeated rows yield a row each, a
+    null id stays null, an empty table has no rows, other columns are left out.
     """
     vocabulary = read_vocabulary(docs.sparkSession, vocabulary_path)
     found = docs.select(
