@@ -80,3 +80,30 @@ def test_empty_tables(spark):
     assert contaminated(docs, items).collect() == []
     assert keep_clean(docs, items).count() == 1
     assert contaminated(docs.limit(0), spark.createDataFrame([(1, "a b")], BENCH)).collect() == []
+
+
+def test_parts_are_searched_one_after_the_other(spark):
+    docs, items = fixture(6)
+    table, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, BENCH)
+    held = {d for d, _ in slow_pairs(docs, items)}
+    for part_words in (200, 1 << 20):
+        kept = keep_clean(table, bench, part_words=part_words).collect()
+        assert sorted(r.doc_id for r in kept) == sorted(d for d, _ in docs if d not in held)
+
+
+def test_windows_without_enough_shingles_are_left_out():
+    """A long text with many single shingles of many items of one size makes few windows, and loses no match."""
+    import numpy as np
+
+    from veilcheck.llm.decontaminate import Benchmark
+    from veilcheck.llm.words import text_hashes
+
+    rng = random.Random(1)
+    items = [(i, " ".join(rng.choices([f"v{k}" for k in range(4000)], k=30))) for i in range(3000)]
+    text = " ".join(" ".join(rng.choice(items)[1].split()[k : k + 6]) for k in rng.choices(range(24), k=4000)) + " " + items[7][1]
+    benchmark = Benchmark(items)
+    words, starts = text_hashes([text.encode()])
+    windows = benchmark.windows(words, starts, 0.8)
+    assert sum(map(len, windows.values())) < 20 and len(words) > 20_000
+    assert [h["item_id"] for h in benchmark.search([text.encode()], 0.8)[0]] == [7]
+    assert np.concatenate(list(windows.values())).max() == len(words) - 30

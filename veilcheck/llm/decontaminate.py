@@ -8,14 +8,18 @@ and each item is listed under all values that near).  Candidates are then
 compared exactly, by the weighted Jaccard similarity of their shingles, where a
 shingle weighs as often as it occurs.
 
-A window without any shingle of an item of its size has similarity zero with
-all of them, so no fingerprint is made for it.
+Two bags of n shingles are that similar only if they share 2ns / (1 + s) of
+them, eight in nine at 0.8.  A window with fewer shingles of items of its size
+matches none of them, so no fingerprint is made for it.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilcheck.llm.words import bit_rows, majority_bits, pieces, shingle_hashes, text_hashes, word_hashes
+from veilcheck.session import written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -32,8 +37,8 @@ RADIUS = 24
 BLOCKS = 8
 #: A benchmark of more words is searched in several parts, each of which is sent to all tasks.
 PART_WORDS = 1_000_000
-#: Windows whose fingerprints are made at once.
-_AT_ONCE = 2048
+#: Windows whose fingerprints are made at once, and pairs of a window and an item that are looked at at once.
+_AT_ONCE, _PAIRS_AT_ONCE = 2048, 1 << 20
 _HIT_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("distance", pa.int32()), ("first_word", pa.int64()), ("words", pa.int64())]))
 HITS = "array<struct<item_id:long,similarity:double,distance:int,first_word:long,words:long>>"
 
@@ -110,8 +115,8 @@ class Benchmark:
             gate[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
             self.shingles[shingle] = (hashes, gate, [sorted(sizes[int(h)]) for h in hashes])
 
-    def windows(self, words: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """By text and item size, the starts of all windows that hold a shingle of an item of that size.
+    def windows(self, words: np.ndarray, starts: np.ndarray, similarity: float) -> dict[tuple[int, int], np.ndarray]:
+        """By text and item size, the starts of all windows that hold enough shingles of items of that size.
 
         A text shorter than the item is one window.
         """
@@ -126,22 +131,38 @@ class Benchmark:
             inside = at + shingle <= starts[text + 1]
             for position, where, doc in zip(at[inside].tolist(), place[inside].tolist(), text[inside].tolist(), strict=True):
                 for size in sizes[where]:
-                    first = max(int(starts[doc]), position - (size - shingle))
-                    last = min(position, int(starts[doc + 1]) - size)
-                    found[doc, size].append(np.arange(first, max(first, last) + 1))
-        return {key: np.unique(np.concatenate(runs)) for key, runs in found.items()}
+                    found[doc, size].append(position)
+        enough = {}
+        for (doc, size), positions in found.items():
+            first, count = int(starts[doc]), self.sizes[size].count
+            last = int(starts[doc + 1]) - size
+            own = min(count, max(0, int(starts[doc + 1]) - first - self.sizes[size].shingle + 1))
+            need = max(1, math.ceil(similarity * (own + count) / (1 + similarity) - 1e-9))
+            held = np.array(positions)
+            if last < first:
+                if len(held) >= need:
+                    enough[doc, size] = np.array([first])
+            elif len(held) >= need:
+                # Windows that begin at or before a shingle and end at or after the one that makes it enough.
+                low, high = held[need - 1 :] - count + 1, held[: len(held) - need + 1]
+                close = low <= high
+                runs = [np.arange(max(first, a), min(last, b) + 1) for a, b in zip(low[close].tolist(), high[close].tolist(), strict=True)]
+                if runs and len(merged := np.unique(np.concatenate(runs))):
+                    enough[doc, size] = merged
+        return enough
 
     def search(self, texts: list[bytes | None], similarity: float) -> list[list[dict]]:
         """Of each text, the items that a window of it matches: the nearest such window of each."""
         words, starts = text_hashes(texts)
         hits: list[list[dict]] = [[] for _ in texts]
-        for (doc, size), firsts in sorted(self.windows(words, starts).items()):
+        for (doc, size), firsts in sorted(self.windows(words, starts, similarity).items()):
             index = self.sizes[size]
             own = shingle_hashes(words[starts[doc] : starts[doc + 1]], index.shingle)
             firsts, count = firsts - starts[doc], min(index.count, len(own))
             best: dict[int, tuple] = {}
-            for some in range(0, len(firsts), _AT_ONCE):
-                part = firsts[some : some + _AT_ONCE]
+            at_once = max(1, min(_AT_ONCE, _PAIRS_AT_ONCE // len(index.ids)))
+            for some in range(0, len(firsts), at_once):
+                part = firsts[some : some + at_once]
                 prints = _fingerprints(own[part[:, None] + np.arange(count)])
                 for window, item, away in zip(*(x.tolist() for x in index.within(prints, self.radius)), strict=True):
                     if item in best and best[item][0] <= away:
@@ -180,17 +201,15 @@ def _matcher(sent, shingle_words: int, radius: int, similarity: float):
     return run
 
 
-def hits_column(
+def hits_columns(
     text: Column, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", similarity: float = SIMILARITY,
     shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, part_words: int = PART_WORDS,
-) -> Column:
-    """An array of the benchmark items that a text holds."""
-    columns = []
+) -> Iterator[Column]:
+    """For each part of the benchmark, one after the other, an array of its items that a text holds."""
     for part in _parts(benchmark, id_col, text_col, part_words):
         rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
         sent = benchmark.sparkSession.sparkContext.broadcast(rows)
-        columns.append(_matcher(sent, shingle_words, radius, similarity)(text))
-    return F.concat(*columns) if len(columns) > 1 else columns[0]
+        yield _matcher(sent, shingle_words, radius, similarity)(text)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -201,10 +220,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id",
     its rows again; items that repeat an id yield a row each.  Either table may
     be empty.  ``benchmark`` has ``item_id`` and ``text``.
     """
-    found = docs.select(F.col(doc_col).alias("doc"), F.explode(hits_column(F.col(text_col), benchmark, **how)).alias("hit"))
-    return found.select(F.col("doc").alias(doc_col), "hit.*")
+    found = [docs.select(F.col(doc_col).alias("doc"), F.explode(hits).alias("hit")) for hits in hits_columns(F.col(text_col), benchmark, **how)]
+    return reduce(DataFrame.unionAll, found).select(F.col("doc").alias(doc_col), "hit.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns; no row is moved."""
-    return docs.filter(F.size(hits_column(F.col(text_col), benchmark, **how)) == 0).select(docs.columns)
+    """The documents that hold no benchmark item, with all their columns.
+
+    Null and empty texts hold none, texts of any length are read whole, repeated
+    rows are judged each, and an empty benchmark or table leaves things as they
+    are.  No row is moved.  A benchmark of several parts is searched part by
+    part, with what is left written in between.
+    """
+    columns = docs.columns
+    for i, hits in enumerate(hits_columns(F.col(text_col), benchmark, **how)):
+        docs = (written(docs, "clean") if i else docs).filter(F.size(hits) == 0).select(columns)
+    return docs
