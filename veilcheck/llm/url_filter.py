@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilcheck.functions.text import bind
+from veilcheck.session import written
 
 #: Action, host and path of each rule; a rule fits its host and all subdomains.
 RULES = (
@@ -24,6 +25,8 @@ RULES = (
 )
 #: Labelled rows that the model is trained from, at most.
 TRAIN_ROWS = 4000
+#: So many times as many URLs as that are compared.
+MARGIN = 4
 GRAMS = (3, 4, 5)
 FEATURES = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,12 +68,22 @@ def _features(table: DataFrame) -> DataFrame:
 def labelled_urls(urls: DataFrame, url_col: str = "url", rows: int = TRAIN_ROWS) -> DataFrame:
     """A small labelled table ``(url, label)``: the URLs of least hash, unwanted (1) if a word of the host is in ``UNWANTED``.
 
-    ``rows`` bounds the sample, which holds a URL once; which URLs it holds does not depend on their order.
+    ``rows`` bounds the sample, which holds a URL once; which URLs it holds does
+    not depend on their order.  URLs whose hash is far from the least ones are
+    left out before any are compared.  An action: the table is written.  Null
+    URLs are left out; an empty table gives an empty one.
     """
     url = F.col(url_col)
     words = F.split(host_and_path(url)[0], "[^a-z]+")
     label = F.arrays_overlap(words, F.array(*map(F.lit, UNWANTED))).cast("double")
-    return urls.filter(url.isNotNull()).select(url.alias("url"), label.alias("label")).distinct().orderBy(F.xxhash64("url"), "url").limit(rows)
+    every = urls.filter(url.isNotNull()).select(url.alias("url"), label.alias("label"))
+    different = every.agg(F.approx_count_distinct("url").alias("n")).first().n
+    low = every
+    if different > 2 * MARGIN * rows:
+        least = every.filter(F.xxhash64("url") < int(MARGIN * rows / different * (1 << 64)) - (1 << 63))
+        # A hash that happens to leave too few is not used.
+        low = least if least.distinct().limit(rows).count() == rows else every
+    return written(low.distinct().orderBy(F.xxhash64("url"), "url").limit(rows), "labelled")
 
 
 def train(labelled: DataFrame):
