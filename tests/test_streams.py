@@ -115,3 +115,20 @@ def test_ordered_events_ask_for_their_state_store(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA + ", at timestamp").parquet(str(tmp_path / "in"))
     with pytest.raises(ValueError, match="RocksDB"):
         line_stream.ordered_events(stream, "at")
+
+
+def test_state_is_by_groups_of_sessions(spark, tmp_path):
+    """State and calls do not grow with the sessions, and session numbers beyond a double's digits stay whole beside a null."""
+    first = 2**62 + 1
+    ids = spark.range(first, first + 3000).withColumnRenamed("id", "session_id").unionByName(
+        spark.createDataFrame([(None,)], "session_id long"))
+    rows = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(x).alias("line")) for i, x in enumerate(
+        ["CMD:SCAN_START", "eyJ", "plain", "CMD:SCAN_END", "CMD:SCAN_START"])])
+    ids.select("session_id", F.inline(rows)).coalesce(2).write.parquet(str(tmp_path / "in"))
+    events = line_stream.session_events(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")))
+    run = file_stream.run_available(events, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert run.recentProgress[-1].stateOperators[0].numRowsTotal <= line_stream.SESSION_GROUPS
+    out = spark.read.schema(events.schema).parquet(str(tmp_path / "out"))
+    assert out.filter("kind = 'verdict' AND pattern = 'AUTHORIZE_EXPORT' AND seq = 3").select("session_id").distinct().count() == 3001
+    assert out.count() == 2 * 3001 and out.filter("session_id IS NULL").count() == 2
+    assert out.agg(F.min("session_id"), F.max("session_id")).first() == (first, first + 2999)
