@@ -8,13 +8,20 @@ from pyspark.sql.window import Window
 
 from .. import fixed_values as fv
 from ..options import DEFAULT_OPTIONS, ScanOptions
+from ..session import written
 from .paths import skip_paths
 
 PLACE = ["commit_ord", "path_ord"]
+MOST_LISTED = 1 << 17
 
 
 def newest_commits(blobs: DataFrame, n: int = fv.HISTORY_COMMITS, repo: list[str] | None = None) -> DataFrame:
-    """The blobs of the newest ``n`` commits (of each ``repo``, if given)."""
+    """The blobs of the newest ``n`` commits (of each ``repo``, if given).  An action: the commits are written first.
+
+    A few commits hold all blobs, so an exchange by commit would give one task
+    most of the text.  Their list goes to the tasks instead; only one of more
+    than MOST_LISTED commits is left to Spark, which divides such tasks.
+    """
     repo = repo or []
     # Commits first: distinct pairs shrink on the map side and carry no text.
     commits = blobs.select(*repo, "commit_ord").distinct()
@@ -23,7 +30,9 @@ def newest_commits(blobs: DataFrame, n: int = fv.HISTORY_COMMITS, repo: list[str
         newest = commits.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
     else:
         newest = commits.orderBy("commit_ord").limit(n)
-    return blobs.join(newest, [*repo, "commit_ord"], "left_semi")
+    newest = written(newest, "newest-commits")
+    listed = F.broadcast(newest) if newest.count() <= MOST_LISTED else newest
+    return blobs.join(listed, [*repo, "commit_ord"], "left_semi")
 
 
 def first_places(keys: DataFrame, repo: list[str] | None = None) -> DataFrame:
