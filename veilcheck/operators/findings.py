@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import labels, scoring
+from ..session import written
 from .ranking import number_rows
 
 DEDUP_KEY = ["file", "line_number", "secret_type", "matched_value", "source"]
@@ -54,7 +55,11 @@ def report_order() -> list[Column]:
 
 
 def in_report_order(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(*report_order())
+    """The findings in report order.  An action: they are written, since a sort samples its input and would scan twice.
+
+    Columns that nobody needs are best dropped before.
+    """
+    return written(findings, "unordered").orderBy(*report_order())
 
 
 def rank_findings(findings: DataFrame, start: int = 1) -> DataFrame:
