@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tests import brute
 from veilcheck import fixed_values as fv
-from veilcheck.functions import flow, labels, scoring, text
-from veilcheck.operators import paths
+from veilcheck.functions import flow, labels, regex, scoring, text
+from veilcheck.operators import context, paths
 from veilcheck.options import ScanOptions
 
 FEW = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
@@ -193,3 +193,31 @@ def test_numbered_text(spark):
 def test_fixed_lists():
     assert (len(fv.CONTEXT_KEYWORDS), len(fv.PLACEHOLDER_PATTERNS), len(fv.SINKS)) == (23, 12, 19)
     assert (len(fv.SKIP_DIRS), len(fv.SKIP_EXTENSIONS), len(fv.REVIEW_EXTENSIONS)) == (12, 22, 15)
+
+
+@pytest.mark.parametrize("pattern, found", [
+    (r"\bos\.system\s*\(", ["(", "os.system"]), (r"ab?c+d", ["a", "d"]), (r"a|b", []), (r"(?i)abc", []), (r"a(?:b|c)d", ["a", "d"]),
+    (r"x[]a]y[^]b]z[\]c]{2}-", ["-", "x", "y", "z"]), (r"a{2}b", ["b"]), (r"a(?i:b)c", []), (r"\d\.\w{2,}--(?<!q)k", [".", "--", "k"]), (r"a(b)?", ["a"]),
+    (r"\x41b", []), (r"\Qa\E", []), (r"(a)\1", []), (r"\$\{a\}", ["${a}"]),
+])
+def test_literals_of_a_regex(pattern, found):
+    assert regex.literals(pattern) == sorted(found)
+
+
+def test_context_is_found_by_line(spark, files):
+    """Searched once per line, the context equals that of the joined lines."""
+    texts = ["x", "My PassWord", "", "y", "z", "KKEY vK", "clı", "ent_secret", "api_", "key", "a", "b", "c", "d"]
+    rows = context.with_context(files({"a.py": "\n".join(texts)})).orderBy("line_number").collect()
+    joined = [" ".join(texts[max(0, i - 2) : i + 3]).lower() for i in range(len(texts))]
+    assert [r.context_match for r in rows] == [any(k in j for k in fv.CONTEXT_KEYWORDS) for j in joined]
+    plan = context.with_context(files({"a.py": "x"}))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan
+
+
+def test_sinks_are_searched_by_literals(spark):
+    """No regex looks at a line that lacks a call's literals."""
+    lines = spark.createDataFrame([("print x",), ("a print (x)",), ("my_exec(x)",), ("os.systemd (x)",), (None,)], "line string")
+    named = lines.select(flow.sink_type("line").alias("s"))
+    assert [r.s for r in named.collect()] == [None, "Console output", None, None, None]
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains") >= len(fv.SINKS)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +14,6 @@ from .text import col
 
 _ASSIGNMENT = regex.java(r"^\s*([A-Z_a-z][A-Z_a-z0-9]*)\s*=")
 _ASSIGNMENT_WITH_VALUE = regex.java(r"^\s*([A-Z_a-z][A-Z_a-z0-9]*)\s*=(.+)")
-_ANY_SINK = regex.any_of([pattern for pattern, _ in fv.SINKS])
 _WORDS = regex.java(r"\w+")
 
 
@@ -39,9 +41,13 @@ def words(text: Column | str) -> Column:
 
 
 def sink_type(line: Column | str) -> Column:
-    """Name of the first risky call that a line contains, or null."""
+    """Name of the first risky call that a line contains, or null.
+
+    A regex only meets lines with all literals of its call, which plain searches find.
+    """
     c = col(line)
     name = F.when(F.lit(False), F.lit(""))
     for pattern, sink in fv.SINKS:
-        name = name.when(c.rlike(regex.java(pattern)), F.lit(sink))
-    return F.when(c.rlike(_ANY_SINK), name)
+        literals = reduce(and_, [c.contains(x) for x in regex.literals(pattern)], F.lit(True))
+        name = name.when(literals & c.rlike(regex.java(pattern)), F.lit(sink))
+    return name
