@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from veilcheck import session
 from veilcheck.llm import near_dup
 from veilcheck.llm.near_dup import build_tree, contract, fingerprint, keep_one, links, local_components, near_duplicates
 
@@ -174,3 +175,40 @@ def test_dense_shards_of_odd_and_even_distances(spark):
         for x in set(prints):
             for y in set(prints):
                 assert bin(x ^ y).count("1") > max_bits or root(x) == root(y)
+
+
+def test_small_tables_are_written_in_few_files(spark, monkeypatch):
+    # With many shuffle partitions, each of them once wrote a file for each of some twenty tables.
+    files = {}
+
+    def counted(df, name, *rows):
+        table = session.written(df, name, *rows)
+        files[name] = max(files.get(name, 0), len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(near_dup, "written", counted)
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    rows = [*texts(random.Random(6)), (3, "an id that comes twice")]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        kept = keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+        chain = contract(spark.range(60).selectExpr("id + 1 AS a", "id AS b")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"distinct", "least", "large", "linked", "components", "members", "verdicts", "right"} <= set(files)
+    assert {name: n for name, n in files.items() if n > 1 and name not in ("prints", "shards", "edges")} == {}
+    assert len(kept) > 100
+    assert len(chain) == 60 and {r.b for r in chain} == {0}
+
+
+def test_written_table_has_a_task_for_so_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "FILE_ROWS", 100)
+    rows = spark.range(0, 1000, 1, 40)
+    assert len(session.written(rows, "numbers").inputFiles()) == 40
+    table = session.written(rows, "numbers", 1000)
+    assert len(table.inputFiles()) == 10
+    assert sorted(r.id for r in table.collect()) == list(range(1000))
+    assert len(session.written(rows.limit(0), "numbers", 0).inputFiles()) == 1
