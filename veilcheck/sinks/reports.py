@@ -7,9 +7,11 @@ the driver, whatever the number of findings.
 
 from __future__ import annotations
 
+import shutil
+from itertools import accumulate
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -26,6 +28,7 @@ SHOWN_LINE = 120
 SHOWN_STEP = 100
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 SARIF_VERSION = "2.1.0"
+SARIF_TAIL = "]}]}"
 TOOL_NAME = "veilcheck"
 TEXT_TITLE = "🔍 Secret Scanner Report"
 NOTHING_FOUND = "✅ Секреты не найдены."
@@ -237,7 +240,7 @@ def sarif_document(findings: DataFrame) -> DataFrame:
               f'{{"name": "{TOOL_NAME}", "rules": ['),
         F.array_join(rule_list, ", "), F.lit(']}}, "results": ['),
     ).alias("value"))
-    return _document(items, head, "]}]}")
+    return _document(items, head, SARIF_TAIL)
 
 
 def text_document(findings: DataFrame) -> DataFrame:
@@ -263,32 +266,83 @@ def text_document(findings: DataFrame) -> DataFrame:
     return first.unionByName(text_rows(ranked).select("idx", "value")).unionByName(last)
 
 
+def _place(source: str, target: str, at: int, size: int) -> None:
+    """Copies a part to its place in the whole; run again, it writes the same bytes there."""
+    with open(source, "rb") as part, open(target, "r+b") as whole:
+        whole.seek(at)
+        shutil.copyfileobj(part, whole, 1 << 20)
+        if whole.tell() != at + size:
+            raise OSError(f"{source} has {whole.tell() - at} bytes; {size} were written")
+
+
+def _join_parts(spark: SparkSession, parts: list[tuple[str, int]], target: str) -> None:
+    """The parts ``(path, size)`` one after the other in the file ``target``, each put there by a task."""
+    with open(target, "wb"):
+        pass
+    starts = accumulate((size for _, size in parts), initial=0)
+    places = [(source, target, at, size) for (source, size), at in zip(parts, starts, strict=False)]
+    spark.sparkContext.parallelize(places, len(places)).foreach(lambda place: _place(*place))
+
+
 def write_document(document: DataFrame, path: str, one_file: bool = False) -> None:
     """Writes the lines of a document in order: as range-partitioned text files, or as the one file ``path``.
 
-    One file takes one writer, a task that sorts the lines with what memory it
-    has.  It writes beside the target, and the finished file is moved there, so
-    a task that is run again or a job that fails leaves no half document.
+    One file in a mounted folder (``file:``) is written in ranges, too, which
+    tasks then copy to their places in it.  Other stores cannot write within a
+    file; there one task sorts and writes all lines.  The file is made beside
+    the target and moved there when it is whole, so a task that is run again or
+    a job that fails leaves no half document.
     """
     if not one_file:
         document.orderBy("idx").select("value").write.mode("overwrite").text(path)
         return
     spark = document.sparkSession
     beside = f"{path}.writing-{uuid4().hex[:12]}"
-    document.repartition(1).sortWithinPartitions("idx").select("value").write.text(beside)
     hadoop = spark._jvm.org.apache.hadoop.fs
     target, folder = hadoop.Path(path), hadoop.Path(beside)
     store = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    written_parts = [f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")]
-    if len(written_parts) != 1:
-        raise OSError(f"{beside} has {len(written_parts)} parts; one was written")
+    mounted = store.getUri().getScheme() == "file"
+    ordered = document.orderBy("idx") if mounted else document.repartition(1).sortWithinPartitions("idx")
+    ordered.select("value").write.text(beside)
+    parts = sorted((f.getPath().getName(), f.getLen()) for f in store.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    if mounted:
+        at = folder.toUri().getPath()
+        _join_parts(spark, [(f"{at}/{name}", size) for name, size in parts], f"{at}/whole")
+        whole = hadoop.Path(folder, "whole")
+    elif len(parts) == 1:
+        whole = hadoop.Path(folder, parts[0][0])
+    else:
+        raise OSError(f"{beside} has {len(parts)} parts; one was written")
     if store.exists(target):
         store.delete(target, True)
-    if not store.rename(written_parts[0], target):
-        raise OSError(f"could not move {written_parts[0].toString()} to {path}")
+    if not store.rename(whole, target):
+        raise OSError(f"could not move {whole.toString()} to {path}")
     store.delete(folder, True)
 
 
+def read_sarif(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of ``sarif_results`` from a report of ``write_sarif``, which has a line for each result.
+
+    The file is read by ranges.  Lines that do not make up one document are an
+    error, and so is a line that is no result.
+    """
+    lines = spark.read.text(path)
+    head, tail = F.startswith("value", F.lit('{"$schema"')), F.col("value") == SARIF_TAIL
+    later = F.startswith("value", F.lit(","))
+    seen = lines.agg(*[F.count_if(c).alias(n) for n, c in (("heads", head), ("tails", tail), ("firsts", ~head & ~tail & ~later), ("later", later))]).first()
+    if (seen.heads, seen.tails) != (1, 1) or seen.firsts != min(1, seen.firsts + seen.later):
+        raise ValueError(f"{path} is not one whole report: {seen}")
+    place = "struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>"
+    result = f"struct<ruleId:string,level:string,message:struct<text:string>,locations:array<{place}>>"
+    value = F.when(later, F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    rows = lines.filter(~head & ~tail).select(F.from_json(value, result, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    at = F.col("locations")[0]["physicalLocation"]
+    return rows.select(
+        F.col("ruleId").alias("rule_id"), "level", F.col("message.text").alias("message"),
+        at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("start_line"),
+    )
+
+
 def write_findings(findings: DataFrame, path: str, one_file: bool = False) -> None:
     write_document(findings_document(findings), path, one_file)
 
